@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.numbers import bin_by_edges, equal_width_bin
-from tidemark.operators.distributed import exact_quantiles, null_safe_join
+from tidemark.operators.distributed import exact_quantiles
 
 
 def value_counts(df: DataFrame, col: str, out: str = "n") -> DataFrame:
@@ -31,7 +31,7 @@ def describe(df: DataFrame, key: str, value: str) -> DataFrame:
         F.max(value).alias("max"),
     )
     q = exact_quantiles(df, [key], value, [0.25, 0.5, 0.75])
-    joined = null_safe_join(basic, q, [key], "left")
+    joined = basic.join(q, key, "left")
     return joined.select(
         key, "n", "mean", "std", "min", "max", *[F.col("q")[i].alias(n) for i, n in enumerate(["q25", "q50", "q75"])]
     )
@@ -93,7 +93,7 @@ def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = ()) ->
     rows = df.select(*keys, F.col(value).alias("__v")).where(F.col("__v").isNotNull())
     span = rows.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     if keys:
-        spread = null_safe_join(rows, span, keys)
+        spread = rows.join(span, keys)
     else:
         s = span.select(F.struct("__lo", "__hi").alias("s")).scalar()
         spread = rows.withColumns({"__lo": s["__lo"], "__hi": s["__hi"]})

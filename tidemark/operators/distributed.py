@@ -14,18 +14,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.numbers import any_of, bin_by_edges
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on equal keys where null matches null; the right key columns are dropped."""
-    renamed = right
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"__r_{k}")
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(renamed[f"__r_{k}"])
-        cond = c if cond is None else cond & c
-    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
-
-
 def hash_bucket(key: Column, bits: int = 12) -> Column:
     """Leading bits of a hex digest as a number; rises with the digest, so it may bucket an order by digest."""
     return F.conv(F.substring(key, 1, (bits + 3) // 4), 16, 10).cast("int")
@@ -39,7 +27,7 @@ def ordinal(
     out: str = "rn",
     upto: Column | None = None,
 ) -> DataFrame:
-    """1-based row number per key in the given order.
+    """1-based row number per key in the given order; rows without a key or bucket are left out.
 
     ``bucket`` must never fall while the order rises. With ``upto`` only the first rows of each key are kept and
     buckets that start beyond it are skipped before the sort.
@@ -49,7 +37,7 @@ def ordinal(
     counts = marked.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    placed = null_safe_join(marked, offsets, [*keys, "__bucket"])
+    placed = marked.join(offsets, [*keys, "__bucket"])
     if upto is not None:
         placed = placed.where(F.col("__off") < upto)
     inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
@@ -65,7 +53,7 @@ def exact_quantiles(
     """Exact linearly interpolated quantiles per key, as an array column.
 
     A mergeable sketch gives ``grid`` split points per key; equal values are counted once; only the buckets that
-    hold a wanted rank are sorted. No task ever sees a whole key.
+    hold a wanted rank are sorted. No task ever sees a whole key. Null keys and null values are left out.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
@@ -75,7 +63,7 @@ def exact_quantiles(
     )
     counted = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
     if keys:
-        bucketed = null_safe_join(counted, sketch, keys)
+        bucketed = counted.join(sketch, keys)
     else:
         one = sketch.select(F.struct("__splits", "__total").alias("s")).scalar()
         bucketed = counted.withColumn("__splits", one["__splits"]).withColumn("__total", one["__total"])
@@ -86,7 +74,7 @@ def exact_quantiles(
     offsets = per_bucket.select(
         *keys, "__b", "__bn", F.coalesce(F.sum("__bn").over(before), F.lit(0)).alias("__off")
     )
-    placed = null_safe_join(bucketed, offsets, [*keys, "__b"])
+    placed = bucketed.join(offsets, [*keys, "__b"])
 
     def rank_low(p: float) -> Column:
         return F.floor(F.lit(float(p)) * (F.col("__total") - 1))
