@@ -7,11 +7,25 @@ sort happens inside (key, bucket).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.numbers import any_of, bin_by_edges
+from tidemark.session import ensure_checkpoint_dir
+
+
+def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write a shared intermediate once to the folder the cluster names and read it back.
+
+    Unlike a cache it survives lost executors, cuts the lineage and gives the planner a true size.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def hash_bucket(key: Column, bits: int = 12) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.calendar import cyclic
 from tidemark.functions.numbers import cut
 from tidemark.operators.cleaning import feature_crosses
-from tidemark.operators.distributed import hash_bucket, ordinal
+from tidemark.operators.distributed import hash_bucket, materialize, ordinal
 
 
 def encoding_stats(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
@@ -33,8 +33,8 @@ def smoothed(sum_: Column, count: Column, prior: Column, alpha: Column | float)
 class SmoothedTargetEncoder:
     """``(sum + alpha * prior) / (count + alpha)`` per category; unseen and null categories take the prior.
 
-    ``fit`` only builds plans: the statistics stay a DataFrame and each encoded column is one equi-join, which Spark
-    broadcasts when its measured size allows.
+    ``fit`` reads the data once and writes one small statistics table, split by column, to the shared folder. Each
+    encoded column then is one equi-join against its own part, whose size Spark knows before it plans the join.
     """
 
     def __init__(self, cols: Sequence[str], alphas: Mapping[str, float] | None = None, default_alpha: float = 15.0):
@@ -42,19 +42,22 @@ class SmoothedTargetEncoder:
         self.alphas = dict(alphas or {})
         self.default_alpha = default_alpha
         self.stats: DataFrame | None = None
-        self.prior: DataFrame | None = None
 
     def fit(self, df: DataFrame, label: str) -> "SmoothedTargetEncoder":
-        self.stats = encoding_stats(df, self.cols, label)
-        self.prior = df.agg(F.avg(F.col(label).cast("double")).alias("g"))
+        stats = encoding_stats(df, self.cols, label)
+        prior = df.agg(F.avg(F.col(label).cast("double")).alias("g")).scalar()
+        self.stats = materialize(stats.withColumn("prior", prior), "te", partition_by=["col"])
         return self
 
+    def prior(self) -> Column:
+        return self.stats.agg(F.max("prior").alias("g")).scalar()
+
     def table(self, col: str) -> DataFrame:
         """(key, encoded value) of one column."""
         alpha = self.alphas.get(col, self.default_alpha)
         return self.stats.where(F.col("col") == col).select(
             F.col("key").alias("__key"),
-            smoothed(F.col("s"), F.col("n"), self.prior.scalar(), alpha).alias(f"{col}_te"),
+            smoothed(F.col("s"), F.col("n"), F.col("prior"), alpha).alias(f"{col}_te"),
         )
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ class SmoothedTargetEncoder:
         for c in self.cols:
             t = self.table(c)
             out = out.join(t, out[c].cast("string") == t["__key"], "left").drop("__key")
-        return out.withColumns({f"{c}_te": F.coalesce(F.col(f"{c}_te"), self.prior.scalar()) for c in self.cols})
+        return out.withColumns({f"{c}_te": F.coalesce(F.col(f"{c}_te"), self.prior()) for c in self.cols})
 
 
 def out_of_fold_encoding(
