@@ -44,7 +44,7 @@ CHUNK_TYPE = T.ArrayType(
 
 
 def _pack(paras: list[str], budget: int, overlap: int) -> list[tuple[str, int]]:
-    """Greedy packing of one document's paragraphs; the last paragraph is carried over while it fits the overlap."""
+    """Greedy packing of one document's paragraphs; the last paragraph is repeated where it fits the budget."""
     out: list[tuple[str, int]] = []
     held: list[tuple[str, int]] = []
     total = 0
@@ -71,7 +71,7 @@ def _pack(paras: list[str], budget: int, overlap: int) -> list[tuple[str, int]]:
         if total + n > budget:
             emit(held, total)
             last = held[-1:]
-            held = last if last and last[0][1] <= overlap and last[0][1] + n <= budget else []
+            held = last if last and last[0][1] + n <= budget else []
             total = sum(k for _, k in held)
         held.append((para, n))
         total += n
@@ -146,7 +146,8 @@ def segment_words(terms: DataFrame, vocab: DataFrame, max_len: int | None = None
     vocabulary nor the words are broadcast by force or collected.
     """
     w = F.col("word")
-    longest = F.length(w) if max_len is None else F.least(F.length(w), F.lit(max_len))
+    bound = F.lit(max_len) if max_len is not None else vocab.agg(F.max(F.length("word")).alias("m")).scalar()
+    longest = F.least(F.length(w), bound)
     starts = terms.select("word").distinct().where(F.length("word") > 0).select(
         "word", longest.alias("__m"), F.explode(F.sequence(F.lit(1), F.length(w))).alias("start")
     )
