@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-# Characters kept in a search token besides the dot: letters, digits, underscore and the Thai block.
-TOKEN_JUNK = r"[^\p{L}\p{N}_\x{0E01}-\x{0E59}.]"
+# What a search token may not hold: anything but letters, digits, underscore, the Thai block and the dot.
+TOKEN_JUNK = r"[^\p{L}\p{N}_\x{0E01}-\x{0E59}.\s]"
 EMPLOYEE_ID = r"\b0[08]\d{6}\b"
 EXTENSION = r"\b\d{5}\b"
 
@@ -51,7 +51,7 @@ def words(text: Column) -> Column:
 
 def search_tokens(text: Column, stop_words: Sequence[str] = (), keep: Sequence[str] = ()) -> Column:
     """Lower-cased tokens without punctuation; stop words go unless they are on the keep list."""
-    raw = F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, TOKEN_JUNK, ""))
+    raw = F.split(F.regexp_replace(F.lower(text), TOKEN_JUNK, ""), r"\s+")
     dropped = sorted(set(stop_words) - set(keep))
     if dropped:
         return F.filter(raw, lambda w: (w != "") & ~w.isin(dropped))

@@ -15,7 +15,7 @@ SCORE_DIGITS = 6  # scores are rounded before ranking, so equal copies tie exact
 
 def term_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     """(key, term, tf). Rows are spread by key first, so every later step per document needs no further shuffle."""
-    spread = docs.select(key, tokens.alias("__t")).repartition(key)
+    spread = docs.repartition(key).select(key, tokens.alias("__t"))
     return spread.select(key, F.explode("__t").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -50,7 +50,7 @@ def bm25_stats(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
 
 def query_postings(docs: DataFrame, key: str, tokens: Column, terms: DataFrame) -> DataFrame:
     """(key, term, tf, dl) of the terms that occur in some query; other terms go before anything is shuffled."""
-    spread = docs.select(key, tokens.alias("__t")).repartition(key).select(key, "__t", F.size("__t").alias("dl"))
+    spread = docs.repartition(key).select(key, tokens.alias("__t")).select(key, "__t", F.size("__t").alias("dl"))
     hits = spread.select(key, "dl", F.explode("__t").alias("term")).join(terms, "term", "left_semi")
     return hits.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
