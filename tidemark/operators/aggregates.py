@@ -127,7 +127,7 @@ def quantile_bins(df: DataFrame, value: str, bins: int, out: str = "decile") ->
     inner = edges.select(
         F.filter(F.array_distinct(F.slice("q", 2, bins - 1)), lambda e: e > F.col("q")[0]).alias("e")
     ).scalar()
-    return df.withColumn(out, bin_by_edges(F.col(value), inner))
+    return df.withColumn("__edges", inner).withColumn(out, bin_by_edges(F.col(value), F.col("__edges"))).drop("__edges")
 
 
 def encoding_stability(df: DataFrame, key: str, ts: str, label: str) -> DataFrame:
