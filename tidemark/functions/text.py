@@ -8,8 +8,11 @@ from pyspark.sql import Column, functions as F
 
 # What a search token may not hold: anything but letters, digits, underscore, the Thai block and the dot.
 TOKEN_JUNK = r"[^\p{L}\p{N}_\x{0E01}-\x{0E59}.\s]"
-EMPLOYEE_ID = r"\b0[08]\d{6}\b"
-EXTENSION = r"\b\d{5}\b"
+# Word edges over all letters and digits, so that a number glued to Thai text counts as part of a word.
+_EDGE = r"[\p{L}\p{N}_]"
+EMPLOYEE_ID = rf"(?<!{_EDGE})0[08]\d{{6}}(?!{_EDGE})"
+EXTENSION = rf"(?<!{_EDGE})\d{{5}}(?!{_EDGE})"
+MOBILE = rf"(?<!{_EDGE})0\d{{2}}-?\d{{3}}-?\d{{4}}(?!{_EDGE})"
 
 
 def blank_to_default(text: Column, default: str) -> Column:
@@ -98,7 +101,7 @@ def mask_private(text: Column, is_refusal: Column) -> Column:
 def strip_private_unless_asked(text: Column, asked_phone: Column) -> Column:
     """Ids always go; mobile and extension numbers go unless the question asked for one; spaces are squeezed."""
     no_id = F.regexp_replace(text, EMPLOYEE_ID, "")
-    no_phone = F.regexp_replace(F.regexp_replace(no_id, r"\b0\d{2}-?\d{3}-?\d{4}\b", ""), EXTENSION, "")
+    no_phone = F.regexp_replace(F.regexp_replace(no_id, MOBILE, ""), EXTENSION, "")
     kept = F.when(asked_phone, no_id).otherwise(no_phone)
     return F.trim(F.regexp_replace(kept, r"\s+", " "))
 

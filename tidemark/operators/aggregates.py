@@ -164,7 +164,7 @@ def best_tile(df: DataFrame, image: str, tile: str, classes: Sequence[str]) -> D
     per_tile = df.select(
         image, tile, F.array_max(scores).alias("p"), (F.array_position(scores, F.array_max(scores)) - 1).alias("k")
     )
-    best = F.max_by(F.struct(tile, "p", "k"), F.struct(F.col("p"), -F.col(tile))).alias("best")
+    best = F.max_by(F.struct(tile, "p", "k"), F.struct(F.col("p"), -F.col(tile), -F.col("k"))).alias("best")
     names = F.array(*[F.lit(c) for c in classes])
     return (
         per_tile.groupBy(image)
