@@ -182,7 +182,7 @@ def dense_topk(
         F.col(query_key).alias("__q"),
         F.col(query_vec).alias("__u"),
         F.pmod(F.xxhash64(query_key), F.lit(query_blocks)).cast("int").alias("__qb"),
-    ).withColumn("__cb", F.explode(F.sequence(F.lit(0), F.lit(chunk_blocks - 1))).cast("bigint"))
+    ).withColumn("__cb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunk_blocks - 1).cast("bigint"))))
     id_type = chunks.schema[chunk_key].dataType.simpleString()
     q_type = queries.schema[query_key].dataType.simpleString()
 
