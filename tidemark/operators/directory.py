@@ -107,21 +107,23 @@ def _word_class(kw: str) -> str:
     return "word" if len(kw) <= 4 else "substring"
 
 
-def keyword_pattern(keywords: Sequence[str]) -> str:
-    """One alternation for a keyword list: short Latin words need word boundaries, Thai and long ones do not.
-
-    The boundary is spelled out over all letters and digits, so that a Latin word glued to Thai text does not match.
-    """
+def word_pattern(words: Sequence[str]) -> str:
+    """Any of the words standing alone. The edge is spelled out over all letters and digits, so that a Latin word
+    glued to Thai text does not match."""
     edge = r"[\p{L}\p{N}_]"
-    parts = []
-    for kw in dict.fromkeys(k.lower() for k in keywords):
-        quoted = re.sub(r"([.\\+*?\[\]^$(){}|])", r"\\\1", kw)
-        parts.append(f"(?<!{edge}){quoted}(?!{edge})" if _word_class(kw) == "word" else quoted)
-    return "|".join(parts)
+    quoted = "|".join(re.sub(r"([.\\+*?\[\]^$(){}|])", r"\\\1", w) for w in words)
+    return f"(?<!{edge})(?:{quoted})(?!{edge})"
 
 
 def has_keyword(text: Column, keywords: Sequence[str]) -> Column:
-    return F.lower(text).rlike(keyword_pattern(keywords))
+    """Short Latin words must stand alone; Thai and longer words count anywhere."""
+    low = [k.lower() for k in dict.fromkeys(keywords)]
+    alone = [k for k in low if _word_class(k) == "word"]
+    anywhere = [k for k in low if _word_class(k) != "word"]
+    # a keyword that contains another adds nothing
+    anywhere = [k for k in anywhere if not any(o != k and o in k for o in anywhere)]
+    out = contains_any(text, anywhere) if anywhere else F.lit(False)
+    return out | F.lower(text).rlike(word_pattern(alone)) if alone else out
 
 
 def contains_any(text: Column, keywords: Sequence[str]) -> Column:

@@ -2,99 +2,103 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.operators.distributed import top_per_key
+from tidemark.operators.distributed import materialize, top_per_key
 
 SCORE_DIGITS = 6  # scores are rounded before ranking, so equal copies tie exactly and fall back to the id
 
 
-def term_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(key, term, tf). Rows are spread by key first, so every later step per document needs no further shuffle."""
-    spread = docs.repartition(key).select(key, tokens.alias("__t"))
-    return spread.select(key, F.explode("__t").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def idf(df: Column, n_docs: Column) -> Column:
+    """Non-negative form ``ln(1 + (N - df + 0.5) / (df + 0.5))``."""
+    return F.ln(F.lit(1.0) + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def doc_lengths(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    return docs.select(key, F.size(tokens).alias("dl"))
+def postings(docs: DataFrame, key: str, text: str, tokenize: Callable[[Column], Column]) -> DataFrame:
+    """(key, term, tf, dl, norm): term counts with the document's length and vector norm.
 
+    Raw texts are hashed by key once; tokens, counts and per-document sums then need no further shuffle.
+    """
+    spread = docs.select(key, text).repartition(key).select(key, F.explode(tokenize(F.col(text))).alias("term"))
+    counts = spread.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    per_doc = Window.partitionBy(key)
+    return counts.select(
+        key, "term", "tf",
+        F.sum("tf").over(per_doc).alias("dl"),
+        F.sqrt(F.sum((F.col("tf") * F.col("tf")).cast("double")).over(per_doc)).alias("norm"),
+    )
 
-def corpus_stats(docs: DataFrame, tokens: Column) -> DataFrame:
-    """Document count and mean length, one row; only the sizes of the token arrays are aggregated."""
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens)).alias("avgdl"))
 
+@dataclass(frozen=True)
+class TextIndex:
+    """A document table tokenised once: its postings as a written table, and the number of documents."""
 
-def idf(df: Column, n_docs: Column) -> Column:
-    """Non-negative form ``ln(1 + (N - df + 0.5) / (df + 0.5))``."""
-    return F.ln(F.lit(1.0) + (n_docs - df + 0.5) / (df + 0.5))
+    key: str
+    postings: DataFrame
+    docs: DataFrame
 
+    def n_docs(self) -> Column:
+        return self.docs.agg(F.count(F.lit(1)).alias("n")).scalar()
 
-def document_frequencies(docs: DataFrame, tokens: Column) -> DataFrame:
-    """Documents per term: distinct terms are taken inside each row, so counting combines in the map stage."""
-    return docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df")
-    )
+    def mean_length(self) -> Column:
+        """Mean tokens per document, empty documents included."""
+        return self.postings.agg(F.sum("tf").alias("t")).scalar() / self.n_docs()
+
+    def term_stats(self) -> DataFrame:
+        terms = self.postings.groupBy("term").agg(F.sum("tf").alias("total_tf"), F.count(F.lit(1)).alias("df"))
+        return terms.withColumn("idf", idf(F.col("df"), self.n_docs()))
 
 
-def bm25_stats(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    terms = docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("total_tf"))
-    return terms.join(document_frequencies(docs, tokens), "term").select(
-        "term", "total_tf", "df", idf(F.col("df"), n_docs).alias("idf")
+def build_index(docs: DataFrame, key: str, text: str, tokenize: Callable[[Column], Column]) -> TextIndex:
+    """Tokenise the documents once and write their postings to the shared folder."""
+    return TextIndex(key, materialize(postings(docs, key, text, tokenize), "postings"), docs.select(key))
+
+
+def query_terms(queries: DataFrame, query_key: str, tokens: Column) -> DataFrame:
+    return (
+        queries.select(query_key, F.explode(tokens).alias("term"))
+        .groupBy(query_key, "term")
+        .agg(F.count(F.lit(1)).alias("qtf"))
     )
 
 
-def query_postings(docs: DataFrame, key: str, tokens: Column, terms: DataFrame) -> DataFrame:
-    """(key, term, tf, dl) of the terms that occur in some query; other terms go before anything is shuffled."""
-    spread = docs.repartition(key).select(key, tokens.alias("__t")).select(key, "__t", F.size("__t").alias("dl"))
-    hits = spread.select(key, "dl", F.explode("__t").alias("term")).join(terms, "term", "left_semi")
-    return hits.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+def matching_postings(index: TextIndex, qterms: DataFrame) -> DataFrame:
+    """Postings of the terms that occur in some query, together again per document.
 
+    Everything else is gone before the shuffle; after it, scores per (query, document) add up inside one partition
+    and only each partition's best hits travel on, never one row per query and document.
+    """
+    wanted = qterms.select("term").distinct()
+    return index.postings.join(wanted, "term", "left_semi").repartition(index.key)
 
-def bm25_scores(
-    docs: DataFrame,
-    doc_key: str,
-    doc_tokens: Column,
-    queries: DataFrame,
-    query_key: str,
-    query_tokens: Column,
-    k1: float = 1.5,
-    b: float = 0.75,
-) -> DataFrame:
+
+def bm25_scores(index: TextIndex, qterms: DataFrame, query_key: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query, document, score) of every document sharing a term with the query."""
-    qterms = (
-        queries.select(query_key, F.explode(query_tokens).alias("term"))
-        .groupBy(query_key, "term")
-        .agg(F.count(F.lit(1)).alias("qtf"))
+    hits = matching_postings(index, qterms)
+    df = index.postings.join(qterms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(
+        F.count(F.lit(1)).alias("df")
     )
-    postings = query_postings(docs, doc_key, doc_tokens, qterms.select("term"))
-    stats = corpus_stats(docs, doc_tokens).select(F.struct("n_docs", "avgdl").alias("s")).scalar()
-    df = document_frequencies(docs, doc_tokens).join(qterms.select("term"), "term", "left_semi")
-    weighted = qterms.join(df, "term").withColumn("w", idf(F.col("df"), stats["n_docs"]) * F.col("qtf"))
-    part = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / stats["avgdl"]))
-    joined = postings.join(weighted.select(query_key, "term", "w"), "term")
-    return joined.groupBy(query_key, doc_key).agg(F.round(F.sum(F.col("w") * part), SCORE_DIGITS).alias("score"))
+    weighted = qterms.join(df, "term").select(query_key, "term", (idf(F.col("df"), index.n_docs()) * F.col("qtf")).alias("w"))
+    length = 1.0 - b + b * F.col("dl") / index.mean_length()
+    part = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * length)
+    scored = hits.select(index.key, "term", part.alias("part")).join(weighted, "term")
+    return scored.groupBy(query_key, index.key).agg(F.round(F.sum(F.col("w") * F.col("part")), SCORE_DIGITS).alias("score"))
 
 
-def cosine_scores(
-    docs: DataFrame, doc_key: str, doc_tokens: Column, queries: DataFrame, query_key: str, query_tokens: Column
-) -> DataFrame:
+def cosine_scores(index: TextIndex, qterms: DataFrame, query_key: str) -> DataFrame:
     """Cosine of raw term counts between every query and the documents that share a term with it."""
-    tf = term_counts(docs, doc_key, doc_tokens)
-    norms = tf.groupBy(doc_key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("dn"))
-    qtf = (
-        queries.select(query_key, F.explode(query_tokens).alias("term"))
-        .groupBy(query_key, "term")
-        .agg(F.count(F.lit(1)).alias("qtf"))
-    )
-    qnorm = qtf.groupBy(query_key).agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qn"))
-    dots = tf.join(qtf, "term").groupBy(query_key, doc_key).agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
-    return dots.join(norms, doc_key).join(qnorm, query_key).select(
-        query_key, doc_key, F.round(F.col("dot") / (F.col("dn") * F.col("qn")), SCORE_DIGITS).alias("score")
+    qnorm = qterms.groupBy(query_key).agg(F.sqrt(F.sum((F.col("qtf") * F.col("qtf")).cast("double"))).alias("qn"))
+    weighted = qterms.join(qnorm, query_key)
+    scored = matching_postings(index, qterms).join(weighted, "term")
+    return (
+        scored.groupBy(query_key, index.key)
+        .agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"), F.first("norm").alias("dn"), F.first("qn").alias("qn"))
+        .select(query_key, index.key, F.round(F.col("dot") / (F.col("dn") * F.col("qn")), SCORE_DIGITS).alias("score"))
     )
 
 

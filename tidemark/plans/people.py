@@ -124,7 +124,7 @@ def code_lookup(t: Tables) -> DataFrame:
 )
 def longest_alias(t: Tables) -> DataFrame:
     words = t.benchmark.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("alias"))
-    return di.longest_alias(t.documents, "doc_id", "text", words, min_len=6)
+    return di.longest_alias(t.texts("documents", "doc_id", "text"), "doc_id", "text", words, min_len=6)
 
 
 @query(

@@ -183,7 +183,7 @@ def output_assertions(t: Tables) -> DataFrame:
 def truth_and_answers(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Rules and answers made from document texts; an answer exists for the labelled documents only."""
     first = F.lower(F.element_at(F.split("text", " "), 1))
-    d = t.documents
+    d = t.texts("documents", "doc_id", "text", "source", "lang", "n_chars")
     strings = "array<string>"
     truth = d.select(
         F.col("doc_id").cast("string").alias("id"),

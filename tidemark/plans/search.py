@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.functions import numbers as num, text as tx
 from tidemark.operators import retrieval as rt
 from tidemark.plans.registry import Tables, query
-from tidemark.plans.texts import sql_tokens, tokens
+from tidemark.plans.texts import KEEP, STOP, sql_tokens, tokens
 
 K = 5
 
@@ -41,24 +41,24 @@ def fused_sql(k: int) -> str:
       fur as materialized (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from fu)"""
 
 
-def token_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return t.documents.select("doc_id", tokens().alias("ts")), t.benchmark.select("item_id", tokens().alias("ts"))
+def tokenize(text):
+    return tx.search_tokens(text, STOP, KEEP)
 
 
-def index_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Token tables written once, for queries that run several scorers over them."""
-    from tidemark.operators.distributed import materialize
+def doc_index(t: Tables) -> rt.TextIndex:
+    return rt.build_index(t.documents, "doc_id", "text", tokenize)
 
-    docs, asks = token_tables(t)
-    return materialize(docs, "tokens"), asks
 
+def asked_terms(t: Tables) -> DataFrame:
+    return rt.query_terms(t.benchmark, "item_id", tokenize(F.col("text")))
 
-def bm25(docs: DataFrame, asks: DataFrame) -> DataFrame:
-    return rt.bm25_scores(docs, "doc_id", F.col("ts"), asks, "item_id", F.col("ts"))
 
+def bm25(index: rt.TextIndex, terms: DataFrame) -> DataFrame:
+    return rt.bm25_scores(index, terms, "item_id")
 
-def cosine(docs: DataFrame, asks: DataFrame) -> DataFrame:
-    return rt.cosine_scores(docs, "doc_id", F.col("ts"), asks, "item_id", F.col("ts"))
+
+def cosine(index: rt.TextIndex, terms: DataFrame) -> DataFrame:
+    return rt.cosine_scores(index, terms, "item_id")
 
 
 def ranked(df: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def ranked(df: DataFrame) -> DataFrame:
 def hashed_text_vectors(t: Tables) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    out = rt.hashed_vectors(t.documents, "doc_id", tokens(), 1 << 10)
+    out = rt.hashed_vectors(t.texts("documents", "doc_id", "text"), "doc_id", tokens(), 1 << 10)
     arr = vector_to_array("vector")
     return out.select("doc_id", F.size(F.filter(arr, lambda x: x != 0)).alias("nonzero"), F.round(num.dot(arr, arr), 6).alias("norm2"))
 
@@ -81,24 +81,23 @@ def hashed_text_vectors(t: Tables) -> DataFrame:
       from tf join dfq using (term) cross join st group by 1""",
 )
 def bm25_stats(t: Tables) -> DataFrame:
-    docs, _ = token_tables(t)
-    return rt.bm25_stats(docs, "doc_id", F.col("ts")).withColumn("idf", F.round("idf", 6))
+    return doc_index(t).term_stats().withColumn("idf", F.round("idf", 6))
 
 
 @query("bm25_topk", BM25 + f" select item_id, doc_id, score, rank::bigint as rank from bmr where rank<={K}")
 def bm25_topk(t: Tables) -> DataFrame:
-    return ranked(rt.rank_top(bm25(*token_tables(t)), "item_id", "doc_id", K))
+    return ranked(rt.rank_top(bm25(doc_index(t), asked_terms(t)), "item_id", "doc_id", K))
 
 
 @query("cosine_topk", INDEX + COSINE + f" select item_id, doc_id, score, rank::bigint as rank from cor where rank<={K}")
 def cosine_topk(t: Tables) -> DataFrame:
-    return ranked(rt.rank_top(cosine(*token_tables(t)), "item_id", "doc_id", K))
+    return ranked(rt.rank_top(cosine(doc_index(t), asked_terms(t)), "item_id", "doc_id", K))
 
 
 @query("rrf_fusion", BM25 + COSINE + fused_sql(K) + f" select item_id, doc_id, score, rank::bigint as rank from fur where rank<={K}")
 def rrf_fusion(t: Tables) -> DataFrame:
-    docs, asks = index_tables(t)
-    return ranked(rt.hybrid(cosine(docs, asks), bm25(docs, asks), "item_id", "doc_id", K))
+    index, terms = doc_index(t), asked_terms(t)
+    return ranked(rt.hybrid(cosine(index, terms), bm25(index, terms), "item_id", "doc_id", K))
 
 
 @query(
@@ -111,8 +110,8 @@ def rrf_fusion(t: Tables) -> DataFrame:
       join (select * from fur where rank=1) f using (item_id)""",
 )
 def compare_methods(t: Tables) -> DataFrame:
-    docs, asks = index_tables(t)
-    c, b = (rt.rank_top(s, "item_id", "doc_id", 2 * K) for s in (cosine(docs, asks), bm25(docs, asks)))
+    index, terms = doc_index(t), asked_terms(t)
+    c, b = (rt.rank_top(s, "item_id", "doc_id", 2 * K) for s in (cosine(index, terms), bm25(index, terms)))
     fused = rt.rrf([c, b], "item_id", "doc_id", K)
     methods = {"cosine": c, "bm25": b, "fused": fused}
     tops = None
@@ -134,13 +133,17 @@ def compare_methods(t: Tables) -> DataFrame:
     select item_id, doc_id, rerank_score, rank::bigint as rank from rr where rank<=8""",
 )
 def two_stage_rerank(t: Tables) -> DataFrame:
-    docs, asks = index_tables(t)
-    cands = rt.rank_top(bm25(docs, asks), "item_id", "doc_id", 32)
-    rich = cands.join(docs.select("doc_id", F.col("ts").alias("dts")), "doc_id").join(
-        asks.select("item_id", F.array_distinct("ts").alias("qts")), "item_id"
+    index, terms = doc_index(t), asked_terms(t)
+    cands = rt.rank_top(bm25(index, terms), "item_id", "doc_id", 32)
+    sizes = terms.groupBy("item_id").agg(F.count("*").alias("nq"))
+    shared = (
+        cands.join(terms.select("item_id", "term"), "item_id")
+        .join(index.postings.select("doc_id", "term"), ["doc_id", "term"])
+        .groupBy("item_id", "doc_id")
+        .agg(F.count("*").alias("common"), F.first("score").alias("score"))
     )
-    overlap = F.round(F.size(F.array_intersect("qts", "dts")) / F.size("qts"), 6)
-    out = rt.rerank(rich, "item_id", "doc_id", overlap, 8)
+    overlap = F.round(F.col("common") / F.col("nq"), 6)
+    out = rt.rerank(shared.join(sizes, "item_id"), "item_id", "doc_id", overlap, 8)
     return out.select("item_id", "doc_id", "rerank_score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -151,7 +154,7 @@ def two_stage_rerank(t: Tables) -> DataFrame:
       from bmr join documents using (doc_id) where rank<=3 group by 1""",
 )
 def assemble_context(t: Tables) -> DataFrame:
-    top = rt.rank_top(bm25(*token_tables(t)), "item_id", "doc_id", 3)
+    top = rt.rank_top(bm25(doc_index(t), asked_terms(t)), "item_id", "doc_id", 3)
     hits = top.join(t.documents.select("doc_id", "text"), "doc_id")
     return rt.assemble_context(hits, "item_id", "text").select("item_id", F.md5("context").alias("context"))
 
