@@ -29,8 +29,9 @@ def fixed_chunks(df: DataFrame, text: str, size: int = 512, overlap: int = 128)
 
 def paragraphs(text: Column, pattern: str = r"\n") -> Column:
     """Trimmed non-empty paragraphs; markdown headings stand alone."""
-    spaced = F.regexp_replace(text, r"(?m)(^#+\s.*$)", "\n$1\n")
-    return F.filter(F.transform(F.split(spaced, pattern), lambda p: F.trim(p)), lambda p: p != "")
+    spaced = F.regexp_replace(text, r"(?m)(^#+\s.*$)", "\n\n$1\n\n")
+    bare = F.transform(F.split(spaced, pattern), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    return F.filter(bare, lambda p: p != "")
 
 
 def paragraph_split(df: DataFrame, text: str, pattern: str = r"\n") -> DataFrame:

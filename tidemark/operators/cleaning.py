@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from itertools import chain
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.numbers import all_of, any_of
@@ -144,14 +146,17 @@ def name_contains(df: DataFrame, cols: Sequence[str], part: str) -> DataFrame:
 
 
 def predicate_search(df: DataFrame, predicate: str, allowed: Sequence[str]) -> DataFrame:
-    """Filter by a SQL predicate over an allow-list of columns; a bad predicate gives no rows, as does an error."""
-    narrowed = df.select(*allowed)
+    """Filter by a SQL predicate over an allow-list of columns; a bad predicate gives no rows, as does an error.
+
+    The alias keeps Spark from reaching for columns outside the list, and subqueries are refused.
+    """
+    narrowed = df.select(*allowed).alias("rows")
+    if re.search(r"\bselect\b", predicate, re.IGNORECASE):
+        return narrowed.limit(0)
     try:
-        keys = narrowed.where(F.expr(predicate))
-        keys.schema  # analysis happens here: unknown columns or syntax errors raise before any job runs
-    except Exception:
+        return narrowed.where(F.expr(predicate))
+    except PySparkException:
         return narrowed.limit(0)
-    return keys
 
 
 # --- sets --------------------------------------------------------------------------------------------------------

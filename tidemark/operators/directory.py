@@ -127,12 +127,10 @@ def has_keyword(text: Column, keywords: Sequence[str]) -> Column:
 
 
 def contains_any(text: Column, keywords: Sequence[str]) -> Column:
-    """Plain substring test for each of a short fixed list."""
-    low = F.lower(text)
-    out = F.lit(False)
-    for k in keywords:
-        out = out | F.contains(low, F.lit(k))
-    return out
+    """Plain substring test for each of a short fixed list. The text is lowered once; the list is one constant."""
+    words = F.split(F.lit("\n".join(keywords)), "\n")
+    tested = F.transform(F.array(F.lower(text)), lambda low: F.exists(words, lambda k: F.contains(low, k)))
+    return F.coalesce(F.get(tested, F.lit(0)), F.lit(False))
 
 
 def policy_class(text: Column, keywords: Mapping[str, Sequence[str]] = POLICY_KEYWORDS) -> Column:

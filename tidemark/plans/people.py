@@ -476,7 +476,7 @@ ROUTE = (
 @query("route_cascade", ROUTE)
 def route_cascade(t: Tables) -> DataFrame:
     """Every question through the rule order; flags and keys are worked out once and written to a stage table."""
-    folk = people(t)
+    folk = materialize(people(t), "people")
     text = F.col("text")
     unwrapped = asks(t).withColumn("text", di.unwrap_question(text))
     name_key, dept_key = di.nick_dept_keys(text)

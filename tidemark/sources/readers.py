@@ -33,12 +33,8 @@ def choices_to_map(df: DataFrame, cols: Sequence[str], out: str = "choices") ->
 
 def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     """(path, text) of every ``*.md`` below a folder; the path is relative to it."""
-    df = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.md")
-        .text(root)
-    )
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md")
+    df = reader.text(root, wholetext=True)
     base = root.rstrip("/").split(":", 1)[-1]
     full = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
     relative = F.regexp_replace(F.replace(F.url_decode(full), F.lit(base), F.lit("")), "^/+", "")
