@@ -139,3 +139,26 @@ def test_answer_texts(spark, folk):
         di.identity_text(name, F.col("nick"), F.col("level"), F.col("lang")), di.contact_text(name, F.col("ext"), F.lit(""), F.col("lang"))
     ).collect()
     assert [tuple(r) for r in rows] == [("Cat Moe ชื่อเล่น KIWI | Director", "Cat Moe | ต่อ 10003"), ("Ann Lee | VP", "Ann Lee | ext 10004")]
+
+
+@pytest.mark.parametrize(
+    "pattern,text,want",
+    [
+        ("nickname_first", "ปลื้ม กมลา เบอร์อะไร", ("ปลื้ม", "กมลา")),
+        ("nickname_first", "Donut Somchai phone", ("DONUT", "SOMCHAI")),
+        ("nickname_real_name", "อิงค์ ชื่อจริง ยศกร", ("อิงค์", "ยศกร")),
+        ("surname", "how many with surname Lee", ("SURNAME", "LEE")),
+        ("bare_nickname", "who is PANPAN", ("WHO IS", "PANPAN")),
+        ("surname", "nothing", (None, None)),
+    ],
+)
+def test_name_patterns(spark, pattern, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert tuple(df.select(*di.pattern_keys(F.col("t"), pattern)).first()) == want
+
+
+def test_resolve_alias_gate_and_block(spark):
+    q = spark.createDataFrame([(1, "secretary of the head of tech"), (2, "head of tech"), (3, "list all: secretary of tech")], "q int, t string")
+    al = spark.createDataFrame([("tech", "T-EA"), ("head of tech", "CTO-EA")], "alias string, target string")
+    got = {r["q"]: r["target"] for r in di.resolve_alias(q, "q", "t", al, gate=["secretary"], block=["list all"]).collect()}
+    assert got == {1: "CTO-EA"}

@@ -74,3 +74,13 @@ def test_top_and_bottom_do_not_repeat_rows(spark):
     df = spark.createDataFrame([(d, float(i)) for i, d in enumerate(days(10))], "day date, z double")
     out = se.top_and_bottom(df, "z", "day", 8, 7).toPandas()
     assert len(out) == 10 and list(out["day"]) == sorted(out["day"])
+
+
+def test_rolling_in_blocks_equals_one_window(spark):
+    rows = [(k, i, float((i * 31) % 17)) for k, n in (("hot", 900), ("cold", 20)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i int, v double").repartition(4)
+    for size, least in ((7, 3), (14, 5)):
+        plain = se.rolling(df, "i", "v", size, least, ["k"], std=True)
+        cut = se.rolling(df, "i", "v", size, least, ["k"], std=True, bucket=F.floor(F.col("i") / 50), block=64)
+        a, b = (x.orderBy("k", "i").toPandas() for x in (plain, cut.select(*plain.columns)))
+        pd.testing.assert_frame_equal(a, b)

@@ -230,6 +230,51 @@ def longest_alias(texts: DataFrame, key: str, text: str, aliases: DataFrame, min
     return hits.groupBy(key).agg(best)
 
 
+def resolve_alias(
+    texts: DataFrame,
+    key: str,
+    text: str,
+    aliases: DataFrame,
+    gate: Sequence[str] = (),
+    block: Sequence[str] = (),
+) -> DataFrame:
+    """Target of the longest alias in each text. ``aliases``: (alias, target).
+
+    With ``gate`` only texts holding one of these words are looked at (secretary or manager questions, say); texts
+    holding a ``block`` word (listings) are passed over.
+    """
+    asked = texts
+    if gate:
+        asked = asked.where(contains_any(F.col(text), gate))
+    if block:
+        asked = asked.where(~contains_any(F.col(text), block))
+    found = longest_alias(asked, key, text, aliases.select("alias"))
+    targets = aliases.groupBy(F.lower("alias").alias("alias")).agg(F.min("target").alias("target"))
+    return found.join(targets, "alias").select(key, "alias", "target")
+
+
+# Question patterns whose two groups are names (Thai and Latin letters).
+NAME_PATTERNS = {
+    "nickname_first": r"(?i)^\s*([ก-๙a-z\-]{1,10})\s+([ก-๙a-z\-]{1,10})\s*(?:เบอร์|โทร|phone|number|ต่อ|ext)",
+    "nickname_real_name": r"([ก-๙a-zA-Z\-]{1,10})\s+(?:ชื่อจริง|real name)\s+([ก-๙a-zA-Z]{2,15})",
+    "nickname_branch": r"(?i)([ก-๙a-z\-]{1,10})\s+(?:สาขา|branch)\s*([ก-๙a-z ]*)",
+    "surname": r"(?i)(นามสกุล|surname)\s+([ก-๙a-z]+)",
+    "bare_nickname": r"(?i)(ใครคือ\s*|who(?:'s| is)\s+)([ก-๙a-z\-]{2,12})\s*$",
+}
+
+
+def pattern_keys(text: Column, pattern: str) -> tuple[Column, Column]:
+    """Both upper-cased groups of a named pattern; null where it does not occur."""
+    groups = [F.upper(F.trim(F.regexp_extract(text, NAME_PATTERNS[pattern], g))) for g in (1, 2)]
+    return F.nullif(groups[0], F.lit("")), F.nullif(groups[1], F.lit(""))
+
+
+def group_listing(df: DataFrame, key: str, member: str, prefix: Column) -> DataFrame:
+    """One line per group naming its members in order, for small reference tables such as branches by region."""
+    names = F.array_join(F.array_sort(F.collect_set(member)), ", ")
+    return df.groupBy(key).agg(F.concat(F.first(prefix), names).alias("answer"))
+
+
 # --- lookups: one row per key first ------------------------------------------------------------------------------
 
 

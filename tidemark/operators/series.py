@@ -32,15 +32,39 @@ def centred(order: str, size: int, keys: Sequence[str] = ()) -> Window:
 
 
 def rolling(
-    df: DataFrame, order: str, value: str, size: int, min_periods: int, keys: Sequence[str], std: bool = False
+    df: DataFrame,
+    order: str,
+    value: str,
+    size: int,
+    min_periods: int,
+    keys: Sequence[str],
+    std: bool = False,
+    bucket: Column | None = None,
+    block: int = 100_000,
 ) -> DataFrame:
-    """Centred rolling mean (and sample deviation). Runs on day-level rows, so a key never exceeds the calendar."""
-    w = centred(order, size, keys)
-    enough = F.count(value).over(w) >= min_periods
-    out = df.withColumn("rolling_mean", F.when(enough, F.avg(value).over(w)))
-    if std:
-        out = out.withColumn("rolling_std", F.when(enough, F.stddev_samp(value).over(w)))
-    return out
+    """Centred rolling mean (and sample deviation) over rows.
+
+    On day-level rows a key never exceeds the calendar and one window per key is enough. For longer series pass
+    ``bucket``, an order-preserving coarse function of ``order``: rows are then numbered in parallel, cut into blocks
+    of ``block`` rows, and each block borrows the few rows its frames reach over from its neighbours.
+    """
+    keys = list(keys)
+
+    def measured(rows: DataFrame, w: Window) -> DataFrame:
+        enough = F.count(value).over(w) >= min_periods
+        out = rows.withColumn("rolling_mean", F.when(enough, F.avg(value).over(w)))
+        if std:
+            out = out.withColumn("rolling_std", F.when(enough, F.stddev_samp(value).over(w)))
+        return out
+
+    if bucket is None:
+        return measured(df, centred(order, size, keys))
+    numbered = ordinal(df, keys, [F.col(order)], bucket, out="__rn")
+    own = F.floor(F.col("__rn") / block)
+    reached = F.array_distinct(F.array(F.floor((F.col("__rn") - size) / block), own, F.floor((F.col("__rn") + size) / block)))
+    spread = numbered.withColumn("__own", own).withColumn("__block", F.explode(reached))
+    out = measured(spread, centred("__rn", size, [*keys, "__block"]))
+    return out.where("__block = __own").drop("__rn", "__own", "__block")
 
 
 def zscores(df: DataFrame, value: str = "value") -> DataFrame:

@@ -374,10 +374,38 @@ def extract_codes(t: Tables) -> DataFrame:
     select qid, n_name||' is a branch in '||r_name as answer from h where r=1""",
 )
 def geo_answer(t: Tables) -> DataFrame:
-    branches = t.nation.join(t.region, F.col("r_regionkey") == F.col("n_regionkey")).select("n_name", "r_name")
-    found = di.longest_alias(asks(t), "qid", "text", branches.select("n_name"))
-    named = found.join(branches.withColumn("alias", F.lower("n_name")), "alias")
-    return named.select("qid", F.concat("n_name", F.lit(" is a branch in "), "r_name").alias("answer"))
+    branches = t.nation.join(t.region, F.col("r_regionkey") == F.col("n_regionkey"))
+    aliases = branches.select(
+        F.col("n_name").alias("alias"), F.concat("n_name", F.lit(" is a branch in "), "r_name").alias("target")
+    )
+    return di.resolve_alias(asks(t), "qid", "text", aliases).select("qid", F.col("target").alias("answer"))
+
+
+@query(
+    "region_answer",
+    """
+    select r_name, r_name||' branches: '||string_agg(n_name, ', ' order by n_name) as answer
+    from nation join region on r_regionkey=n_regionkey group by 1""",
+)
+def region_answer(t: Tables) -> DataFrame:
+    branches = t.nation.join(t.region, F.col("r_regionkey") == F.col("n_regionkey"))
+    return di.group_listing(branches, "r_name", "n_name", F.concat("r_name", F.lit(" branches: ")))
+
+
+@query(
+    "role_alias",
+    VIEWS
+    + """, al as (select distinct lower(code) as alias, code as target from people),
+      h as (select qid, target, row_number() over (partition by qid order by length(alias) desc, alias) as r
+        from (select qid, 'who leads '||code||' as '||level as text from asks join people on emp_id=qid) join al on contains(lower(text), alias)
+        where contains(lower(text),'vp') and not contains(lower(text),'list'))
+    select qid, target from h where r=1""",
+)
+def role_alias(t: Tables) -> DataFrame:
+    p = people(t)
+    texts = p.select(F.col("emp_id").alias("qid"), F.concat(F.lit("who leads "), "code", F.lit(" as "), "level").alias("text"))
+    aliases = p.select(F.col("code").alias("alias"), F.col("code").alias("target")).distinct()
+    return di.resolve_alias(texts, "qid", "text", aliases, gate=["vp"], block=["list"]).select("qid", "target")
 
 
 @query("category_set_members", VIEWS + " select emp_id, nickname from people where upper(nickname) in ('RED','GREEN','BLUE','YELLOW','BLACK','WHITE','PINK','PURPLE','ORANGE','GRAY','BROWN','GOLD')")

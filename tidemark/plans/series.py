@@ -307,6 +307,15 @@ def length_summary(t: Tables) -> DataFrame:
     return out.select("lang", "n", "min", "max", *[F.round(c, 4).alias(c) for c in ("mean", "std", "q50")])
 
 
+@query(
+    "shortest_texts",
+    "select doc_id, length(text)::bigint as n_chars, lang from documents order by length(text), doc_id limit 10",
+)
+def shortest_texts(t: Tables) -> DataFrame:
+    lengths = t.documents.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "lang")
+    return lengths.orderBy("n_chars", "doc_id").limit(10)
+
+
 # --- windows -----------------------------------------------------------------------------------------------------
 
 
