@@ -33,15 +33,28 @@ def test_ordinal_upto_keeps_the_first_rows(skewed):
     assert set(got["id"]) == set(want["id"])
 
 
+def test_ordinal_by_position_splits_hot_keys(skewed):
+    df, pdf = skewed
+    cut = ds.range_buckets(df, ["key"], F.col("v"), hot_rows=100, grid=4, fine=4)
+    parts = {r["key"]: r["n"] for r in cut.groupBy("key").agg(F.countDistinct("__bucket").alias("n")).collect()}
+    assert parts["hot"] > 8 and {n for k, n in parts.items() if k != "hot"} == {1}
+    got = ds.ordinal(df, ["key"], [F.col("v"), F.col("id")], position=F.col("v"), hot_rows=100).select("id", "rn").toPandas()
+    want = pdf.sort_values(["v", "id"]).groupby("key").cumcount() + 1
+    assert (got.set_index("id")["rn"].sort_index() == want.sort_index()).all()
+    whole = ds.ordinal(df, [], [F.col("v"), F.col("id")], position=F.col("v"), hot_rows=100).orderBy("rn").select("id").toPandas()
+    assert list(whole["id"]) == list(pdf.sort_values(["v", "id"])["id"])
+
+
 @pytest.mark.parametrize("probs", [[0.0, 0.5, 1.0], [0.1, 0.25, 0.333, 0.9]])
-def test_exact_quantiles(skewed, probs):
+@pytest.mark.parametrize("hot_rows", [5, 1000])
+def test_exact_quantiles(skewed, probs, hot_rows):
     df, pdf = skewed
-    got = {r["key"]: r["q"] for r in ds.exact_quantiles(df, ["key"], "v", probs, grid=8).collect()}
+    got = {r["key"]: r["q"] for r in ds.exact_quantiles(df, ["key"], "v", probs, hot_rows=hot_rows).collect()}
     want = pdf.groupby("key")["v"].quantile(probs).unstack()
     assert set(got) == set(want.index)
     for k, q in got.items():
         np.testing.assert_allclose(q, want.loc[k].to_numpy(), atol=1e-9)
-    whole = ds.exact_quantiles(df, [], "v", probs).first()["q"]
+    whole = ds.exact_quantiles(df, [], "v", probs, hot_rows=hot_rows).first()["q"]
     np.testing.assert_allclose(whole, np.quantile(pdf["v"], probs), atol=1e-9)
 
 

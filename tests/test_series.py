@@ -32,9 +32,9 @@ def test_rolling_needs_enough_rows_and_zscore_survives_zero_spread(spark):
 def test_fixed_windows_drop_the_last_full_one(spark):
     rows = [("f", i, float(i)) for i in range(3 * 480 + 10)]
     df = spark.createDataFrame(rows, "file string, pos int, v double")
-    kept = se.fixed_row_windows(df, "file", ["pos"], 480, F.floor(F.col("pos") / 100))
+    kept = se.fixed_row_windows(df, "file", ["pos"], 480, F.col("pos"))
     assert {r["window_id"]: r["count"] for r in kept.groupBy("window_id").count().collect()} == {0: 480, 1: 480}
-    every = se.fixed_row_windows(df, "file", ["pos"], 480, F.floor(F.col("pos") / 100), drop_last_full=False)
+    every = se.fixed_row_windows(df, "file", ["pos"], 480, F.col("pos"), drop_last_full=False)
     assert every.select("window_id").distinct().count() == 3
     feats = se.window_features(kept, "file", ["v"], ["v"], "pos").orderBy("window_id").collect()
     assert [r["label"] for r in feats] == [0, 480]
@@ -81,6 +81,6 @@ def test_rolling_in_blocks_equals_one_window(spark):
     df = spark.createDataFrame(rows, "k string, i int, v double").repartition(4)
     for size, least in ((7, 3), (14, 5)):
         plain = se.rolling(df, "i", "v", size, least, ["k"], std=True)
-        cut = se.rolling(df, "i", "v", size, least, ["k"], std=True, bucket=F.floor(F.col("i") / 50), block=64)
+        cut = se.rolling(df, "i", "v", size, least, ["k"], std=True, position=F.col("i"), block=64)
         a, b = (x.orderBy("k", "i").toPandas() for x in (plain, cut.select(*plain.columns)))
         pd.testing.assert_frame_equal(a, b)

@@ -94,6 +94,7 @@ ASKED_WORDS = {
     "email": ["อีเมล", "email", "e-mail"],
     "team": ["ทีมไหน", "แผนกไหน", "อยู่ที่ไหน", "สังกัด", "which team", "which dept", "which department"],
 }
+# Words of listing questions and of questions for a number.
 LIST_WORDS = ["มีใครบ้าง", "รายชื่อ", "ใครอยู่", "who's in", "who is in", "list", "members", "สมาชิก", "ใครบ้าง"]
 NEED_EXT_WORDS = ["ext", "extension", "เบอร์", "ต่อ", "phone", "โทร"]
 
@@ -303,6 +304,7 @@ def nickname_index(people: DataFrame, names: Sequence[str], dept: str, ext: str,
     return first_per_key(candidates.withColumn("dept_key", F.upper(dept)), ["name_key", "dept_key"], ["__p", order]).drop("__p")
 
 
+# Fixed values: "name connector department" patterns, words that are no names, and Thai titles.
 NICK_DEPT = (
     r"(?i)\b([a-z\-]{3,12})\s+(?:from|in|at|with|on the|working in|based in|working at)\s+([a-z]{2,12})\b"
 )

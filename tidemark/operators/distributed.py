@@ -39,26 +39,66 @@ def spread_scan(df: DataFrame, key: str, per_core: int = 2) -> DataFrame:
     return df.repartition(cores, key)
 
 
-def hash_bucket(key: Column, bits: int = 12) -> Column:
-    """Leading bits of a hex digest as a number; rises with the digest, so it may bucket an order by digest."""
-    return F.conv(F.substring(key, 1, (bits + 3) // 4), 16, 10).cast("int")
+def hash_bucket(digest: Column, digits: int = 4) -> Column:
+    """Leading hex digits of a digest as a number; rises with the digest, so it may bucket an order by digest."""
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("int")
+
+
+HOT_ROWS = 1_000_000  # a key with fewer rows may be sorted by one task
+
+
+def range_buckets(
+    df: DataFrame, keys: Sequence[str], value: Column, hot_rows: int = HOT_ROWS, grid: int = 64, fine: int = 64
+) -> DataFrame:
+    """Adds ``__bucket``, which rises with the value inside each key and cuts hot keys into up to grid * fine parts.
+
+    Only keys with more than ``hot_rows`` rows are sketched: a mergeable sketch gives ``grid`` split points and every
+    range between two of them is divided evenly. All other keys keep the single bucket 0.
+    """
+    keys = list(keys)
+    rows = df.withColumn("__v", value.cast("double"))
+    points = [i / grid for i in range(1, grid)]
+    facts = [F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.percentile_approx("__v", points, 20 * grid).alias("splits")]
+    if keys:
+        hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*keys)
+        sketch = rows.join(hot, keys, "left_semi").groupBy(*keys).agg(*facts)
+        joined = rows.join(sketch.select(*keys, F.struct("lo", "hi", "splits").alias("__s")), keys, "left")
+    else:
+        sketch = rows.agg(F.count(F.lit(1)).alias("n"), *facts)
+        one = sketch.select(F.when(F.col("n") > hot_rows, F.struct("lo", "hi", "splits")).alias("s")).scalar()
+        joined = rows.withColumn("__s", one)
+    joined = joined.withColumn("__i", bin_by_edges(F.col("__v"), F.col("__s.splits")))
+    low = F.when(F.col("__i") == 0, F.col("__s.lo")).otherwise(F.get("__s.splits", F.col("__i") - 1))
+    high = F.when(F.col("__i") == F.size("__s.splits"), F.col("__s.hi")).otherwise(F.get("__s.splits", F.col("__i")))
+    part = F.floor(F.try_divide(F.col("__v") - low, high - low) * fine)
+    inside = F.least(F.greatest(F.coalesce(part, F.lit(0)), F.lit(0)), F.lit(fine - 1))
+    bucket = F.when(F.col("__s").isNotNull(), F.col("__i") * fine + inside).otherwise(0).cast("int")
+    return joined.withColumn("__bucket", bucket).drop("__v", "__s", "__i")
 
 
 def ordinal(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    bucket: Column,
+    bucket: Column | None = None,
+    position: Column | None = None,
     out: str = "rn",
     upto: Column | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """1-based row number per key in the given order; rows without a key or bucket are left out.
 
-    ``bucket`` must never fall while the order rises. With ``upto`` only the first rows of each key are kept and
+    Give either ``bucket``, which must never fall while the order rises, or ``position``, a numeric form of the first
+    order column from which buckets are made for hot keys. With ``upto`` only the first rows of each key are kept and
     buckets that start beyond it are skipped before the sort.
     """
     keys = list(keys)
-    marked = df.withColumn("__bucket", bucket)
+    if bucket is not None:
+        marked = df.withColumn("__bucket", bucket)
+    elif position is not None:
+        marked = range_buckets(df, keys, position, hot_rows)
+    else:
+        raise ValueError("bucket or position is needed")
     counts = marked.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
@@ -73,33 +113,27 @@ def ordinal(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], grid: int = 128, out: str = "q"
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str = "q", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per key, as an array column.
 
-    A mergeable sketch gives ``grid`` split points per key; equal values are counted once; only the buckets that
-    hold a wanted rank are sorted. No task ever sees a whole key. Null keys and null values are left out.
+    Equal values are counted once; keys with very many distinct values are cut into ranges, and only the ranges that
+    hold a wanted rank are sorted. Null keys and null values are left out.
     """
     keys = list(keys)
-    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    points = [i / grid for i in range(1, grid)]
-    sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx("__v", points, 10 * grid).alias("__splits"), F.count(F.lit(1)).alias("__total")
-    )
-    counted = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    if keys:
-        bucketed = counted.join(sketch, keys)
-    else:
-        one = sketch.select(F.struct("__splits", "__total").alias("s")).scalar()
-        bucketed = counted.withColumn("__splits", one["__splits"]).withColumn("__total", one["__total"])
-    bucketed = bucketed.withColumn("__b", bin_by_edges(F.col("__v"), F.col("__splits"))).drop("__splits")
+    rows = df.select(*keys, F.col(value).cast("double").alias("__x")).where(F.col("__x").isNotNull())
+    counted = rows.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__c"))
+    bucketed = range_buckets(counted, keys, F.col("__x"), hot_rows)
 
-    per_bucket = bucketed.groupBy(*keys, "__b").agg(F.sum("__c").alias("__bn"))
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = bucketed.groupBy(*keys, "__bucket").agg(F.sum("__c").alias("__bn"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
-        *keys, "__b", "__bn", F.coalesce(F.sum("__bn").over(before), F.lit(0)).alias("__off")
+        *keys, "__bucket", "__bn",
+        F.coalesce(F.sum("__bn").over(before), F.lit(0)).alias("__off"),
+        F.sum("__bn").over(whole).alias("__total"),
     )
-    placed = bucketed.join(offsets, [*keys, "__b"])
+    placed = bucketed.join(offsets, [*keys, "__bucket"])
 
     def rank_low(p: float) -> Column:
         return F.floor(F.lit(float(p)) * (F.col("__total") - 1))
@@ -109,19 +143,17 @@ def exact_quantiles(
 
     ranks = [r(p) for p in probs for r in (rank_low, rank_high)]
     wanted = any_of([(r >= F.col("__off")) & (r < F.col("__off") + F.col("__bn")) for r in ranks])
-    inside = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "__bucket").orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)
     walked = placed.where(wanted).withColumn(
         "__first", F.col("__off") + F.coalesce(F.sum("__c").over(inside), F.lit(0))
     )
 
     def value_at(rank: Column) -> Column:
         hit = (rank >= F.col("__first")) & (rank < F.col("__first") + F.col("__c"))
-        return F.max(F.when(hit, F.col("__v")))
+        return F.max(F.when(hit, F.col("__x")))
 
-    picks = [value_at(r) for r in ranks]
-    total = F.max("__total")
-    named = [c.alias(f"__p{i}") for i, c in enumerate(picks)]
-    agg = walked.groupBy(*keys).agg(total.alias("__total"), *named)
+    named = [value_at(r).alias(f"__p{i}") for i, r in enumerate(ranks)]
+    agg = walked.groupBy(*keys).agg(F.max("__total").alias("__total"), *named)
     quantiles = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("__total") - 1)

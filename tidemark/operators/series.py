@@ -39,14 +39,14 @@ def rolling(
     min_periods: int,
     keys: Sequence[str],
     std: bool = False,
-    bucket: Column | None = None,
+    position: Column | None = None,
     block: int = 100_000,
 ) -> DataFrame:
     """Centred rolling mean (and sample deviation) over rows.
 
     On day-level rows a key never exceeds the calendar and one window per key is enough. For longer series pass
-    ``bucket``, an order-preserving coarse function of ``order``: rows are then numbered in parallel, cut into blocks
-    of ``block`` rows, and each block borrows the few rows its frames reach over from its neighbours.
+    ``position``, a numeric form of ``order``: rows are then numbered in parallel, cut into blocks of ``block`` rows,
+    and each block borrows the few rows its frames reach over from its neighbours.
     """
     keys = list(keys)
 
@@ -57,9 +57,9 @@ def rolling(
             out = out.withColumn("rolling_std", F.when(enough, F.stddev_samp(value).over(w)))
         return out
 
-    if bucket is None:
+    if position is None:
         return measured(df, centred(order, size, keys))
-    numbered = ordinal(df, keys, [F.col(order)], bucket, out="__rn")
+    numbered = ordinal(df, keys, [F.col(order)], position=position, out="__rn")
     own = F.floor(F.col("__rn") / block)
     reached = F.array_distinct(F.array(F.floor((F.col("__rn") - size) / block), own, F.floor((F.col("__rn") + size) / block)))
     spread = numbered.withColumn("__own", own).withColumn("__block", F.explode(reached))
@@ -96,15 +96,15 @@ def fixed_row_windows(
     file: str,
     order: Sequence[str],
     size: int,
-    bucket: Column,
+    position: Column,
     drop_last_full: bool = True,
 ) -> DataFrame:
     """Cut each file's ordered rows into windows of ``size`` rows; incomplete windows go.
 
-    ``drop_last_full`` also drops each file's last full window. Row positions come from the bucketed rank, so one
-    very long file is spread over many tasks.
+    ``drop_last_full`` also drops each file's last full window. ``position`` is a numeric form of the first order
+    column; row numbers come from the bucketed rank, so one very long file is spread over many tasks.
     """
-    ranked = ordinal(df, [file], [F.col(c) for c in order], bucket, out="rn")
+    ranked = ordinal(df, [file], [F.col(c) for c in order], position=position, out="rn")
     windowed = ranked.withColumn("window_id", F.floor((F.col("rn") - 1) / size).cast("bigint"))
     totals = df.groupBy(file).agg(F.count(F.lit(1)).alias("__rows"))
     last = F.floor(F.col("__rows") / size) - (1 if drop_last_full else 0)

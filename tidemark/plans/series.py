@@ -418,8 +418,7 @@ def sensor_windows(t: Tables) -> DataFrame:
     rows = t.events.select(
         "user_id", "ts", "event_id", "value", "event_type", F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k")
     )
-    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
-    return se.fixed_row_windows(rows, "user_id", ["ts", "event_id"], 20, day)
+    return se.fixed_row_windows(rows, "user_id", ["ts", "event_id"], 20, F.unix_micros(F.col("ts").cast("timestamp")))
 
 
 WINDOWS = """
