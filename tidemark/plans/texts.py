@@ -74,13 +74,41 @@ def paragraph_split(t: Tables) -> DataFrame:
     return out.withColumn("para_no", F.col("para_no").cast("bigint"))
 
 
-@query("chunk_pack")
+# Budget 400 less the 7 tokens of the prefix; parts of oversized paragraphs step on by 393 - 60.
+PACK = r"""
+    with recursive ps as (select doc_id, list_filter(list_transform(string_split(
+          regexp_replace(text,'(?m)(^#+\s.*$)',chr(10)||'\1'||chr(10),'g'),chr(10)), lambda x: regexp_replace(x,'^\s+|\s+$','','g')), lambda x: x<>'') as ps
+        from documents),
+      pn as materialized (select doc_id, i, list_filter(regexp_split_to_array(ps[i],'\s+'), lambda w: w<>'') as ws, length(ps[i]) as c,
+          len(list_filter(regexp_split_to_array(ps[i],'\s+'), lambda w: w<>'')) as n from ps, unnest(range(1,len(ps)+1)) r(i)),
+      cnt as (select doc_id, max(i) as m from pn group by 1),
+      walk as (select doc_id, 1::bigint as i, 1::bigint as s, 0::bigint as total, null::bigint as es, null::bigint as ee, null::bigint as et from cnt
+        union all
+        select w.doc_id, w.i+1,
+          case when p.n>393 then w.i+1 when w.total+p.n>393 then case when w.s<w.i and q.n+p.n<=393 then w.i-1 else w.i end else w.s end,
+          case when p.n>393 then 0 when w.total+p.n>393 then case when w.s<w.i and q.n+p.n<=393 then q.n+p.n else p.n end else w.total+p.n end,
+          case when (p.n>393 or w.total+p.n>393) and w.s<w.i then w.s end, case when (p.n>393 or w.total+p.n>393) and w.s<w.i then w.i-1 end,
+          case when (p.n>393 or w.total+p.n>393) and w.s<w.i then w.total end
+        from walk w join pn p on p.doc_id=w.doc_id and p.i=w.i left join pn q on q.doc_id=w.doc_id and q.i=w.i-1),
+      spans as (select doc_id, i-1 as para, es, ee, et from walk where es is not null
+        union all select doc_id, i, s, m, total from walk join cnt using (doc_id) where i=m+1 and s<=m),
+      packed as (select sp.doc_id, para, 0 as kind, 0 as k, any_value(et) as n_tokens, sum(c)+2*(any_value(ee)-any_value(es)) as body
+          from spans sp join pn on pn.doc_id=sp.doc_id and pn.i between es and ee group by 1,2
+        union all select doc_id, i, 1, k, least(393, n-k*333), length(array_to_string(ws[k*333+1:k*333+393],' '))
+          from pn, unnest(range(0, 1+ceil((n-393)/333.0)::bigint)) r(k) where n>393)
+    select doc_id, (row_number() over (partition by doc_id order by para, kind, k)-1)::bigint as chunk_no, n_tokens::bigint as n_tokens,
+      (body+length('Category: Store Info | Title: '||doc_id||chr(10)||'Content: '))::bigint as n_chars, doc_id::varchar as product, 'Store Info' as category
+    from packed"""
+
+
+@query("chunk_pack", PACK)
 def chunk_pack(t: Tables) -> DataFrame:
     docs = t.texts("documents", "doc_id", "text", "source").select(
         "doc_id", "text", F.concat(F.col("source"), F.lit("/store/"), F.col("doc_id"), F.lit(".md")).alias("path")
     )
     out = ch.pack_chunks(docs, "text", "path")
-    return out.select("doc_id", "chunk_no", "n_tokens", F.length("chunk").alias("n_chars"), "metadata.product", "metadata.category")
+    ints = {"chunk_no": F.col("chunk_no"), "n_tokens": F.col("n_tokens"), "n_chars": F.length("chunk")}
+    return out.select("doc_id", *[c.cast("bigint").alias(n) for n, c in ints.items()], "metadata.product", "metadata.category")
 
 
 @query(
