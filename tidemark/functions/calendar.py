@@ -41,3 +41,9 @@ def week_period(ts: Column) -> Column:
 def cyclic(value: Column, period: float) -> tuple[Column, Column]:
     angle = value * F.lit(2.0) * F.pi() / F.lit(float(period))
     return F.sin(angle), F.cos(angle)
+
+
+def second_number(ts: Column) -> Column:
+    """Seconds since 1970 read off the clock fields, so that it rises with a zone-free timestamp in any time zone."""
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)

@@ -142,16 +142,19 @@ def choices_text(choices: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda e: F.concat(e["k"].cast("string"), F.lit(". "), e["v"])), "\n")
 
 
-def _best_rows(pdf: pd.DataFrame, qids: np.ndarray, qmat: np.ndarray, k: int) -> pd.DataFrame:
-    """Top k chunk rows of every query within one batch; ties by id."""
+def _best_rows(pdf: pd.DataFrame, qids: np.ndarray, qmat: np.ndarray, k: int, step: int = 256) -> pd.DataFrame:
+    """Top k chunk rows of every query within one batch; ties by id. Queries go through in slices of ``step``."""
     mat = np.stack(pdf["__v"].to_numpy()).astype(np.float64)
     ids = pdf["__id"].to_numpy()
-    scores = np.round(mat @ qmat.T, SCORE_DIGITS)
+    last = max(0, len(ids) - k)
     out = []
-    for j, q in enumerate(qids):
-        s = scores[:, j]
-        order = np.lexsort((ids, -s))[:k]
-        out.append(pd.DataFrame({"__q": q, "__id": ids[order], "score": s[order]}))
+    for start in range(0, len(qids), step):
+        scores = np.round(mat @ qmat[start : start + step].T, SCORE_DIGITS)
+        floors = np.partition(scores, last, axis=0)[last]
+        for j, floor in enumerate(floors):
+            kept = np.flatnonzero(scores[:, j] >= floor)
+            best = kept[np.lexsort((ids[kept], -scores[kept, j]))[:k]]
+            out.append(pd.DataFrame({"__q": qids[start + j], "__id": ids[best], "score": scores[best, j]}))
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"__q": [], "__id": [], "score": []})
 
 
@@ -163,19 +166,18 @@ def dense_topk(
     query_key: str,
     query_vec: str,
     k: int,
-    query_block: int = 2048,
-    chunk_blocks: int | None = None,
+    query_block: int = 32_768,
+    chunk_block: int = 100_000,
 ) -> DataFrame:
     """Exact top-k by dot product for two tables of any size.
 
-    Chunks are hashed into blocks and queries into blocks of about ``query_block`` rows; every cell of the grid is
-    one matrix product in one task that returns at most k rows per query, never all pairs. The number of query blocks
-    follows the measured query count, so memory per task stays bounded and nothing is collected.
+    Chunks and queries are hashed into blocks of about ``chunk_block`` and ``query_block`` rows; every cell of the grid
+    is one matrix product in one task that returns at most k rows per query, never all pairs. Both block counts follow
+    the measured row counts, so memory per task stays bounded and nothing is collected.
     """
-    spark = chunks.sparkSession
-    chunk_blocks = chunk_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_queries = queries.count()
-    query_blocks = max(1, -(-n_queries // query_block))
+    least = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunk_blocks = max(least, -(-chunks.count() // chunk_block))
+    query_blocks = max(1, -(-queries.count() // query_block))
 
     left = chunks.select(
         F.col(chunk_key).alias("__id"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.functions.calendar import second_number
 from tidemark.operators import aggregates as ag, series as se
 from tidemark.plans.registry import Tables, query
 
@@ -418,7 +419,7 @@ def sensor_windows(t: Tables) -> DataFrame:
     rows = t.events.select(
         "user_id", "ts", "event_id", "value", "event_type", F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k")
     )
-    return se.fixed_row_windows(rows, "user_id", ["ts", "event_id"], 20, F.unix_micros(F.col("ts").cast("timestamp")))
+    return se.fixed_row_windows(rows, "user_id", ["ts", "event_id"], 20, second_number(F.col("ts")))
 
 
 WINDOWS = """
