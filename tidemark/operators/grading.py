@@ -80,16 +80,16 @@ def grade(truth: DataFrame, submission: DataFrame) -> DataFrame:
 
 
 def grade_report(graded: DataFrame) -> DataFrame:
-    """Pass counts and rate per bucket with an overall row."""
-
-    def summary(df: DataFrame) -> DataFrame:
-        return df.agg(F.sum("n_pass").alias("n_pass"), F.sum("total").alias("total"), F.sum("n_missing").alias("n_missing"))
-
-    per = graded.groupBy("bucket").agg(
-        F.count_if("passed").alias("n_pass"), F.count(F.lit(1)).alias("total"), F.count_if("missing").alias("n_missing")
+    """Pass counts and rate per bucket with an overall row; one pass over the graded answers."""
+    summed = graded.select("bucket", "passed", "missing").rollup("bucket").agg(
+        F.grouping("bucket").alias("g"),
+        F.count_if("passed").alias("n_pass"),
+        F.count(F.lit(1)).alias("total"),
+        F.count_if("missing").alias("n_missing"),
     )
-    overall = summary(per).select(F.lit("(all)").alias("bucket"), "n_pass", "total", "n_missing")
-    return per.unionByName(overall).withColumn("rate_pct", F.try_divide(F.col("n_pass") * 100.0, F.col("total")))
+    name = F.when(F.col("g") == 1, F.lit("(all)")).otherwise(F.col("bucket")).alias("bucket")
+    rate = F.try_divide(F.col("n_pass") * 100.0, F.col("total")).alias("rate_pct")
+    return summed.select(name, "n_pass", "total", "n_missing", rate)
 
 
 # --- probabilities and classes -----------------------------------------------------------------------------------
