@@ -9,7 +9,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, fingerprints, language, quality
+from tidemark.llm import bpe, fingerprints, language, licenses, quality, quotes, sharding
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -30,6 +30,68 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+QUOTE_SQL = """
+    with recursive m as (
+        select conv_id, turn, role, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') as own,
+            trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) as norm
+        from conversations),
+    first_said as (select conv_id, norm, min(turn) as origin from m where norm <> '' group by all),
+    q as (
+        select m.*, one.norm as norm1, two.norm as norm2, o1.origin as origin1, o2.origin as origin2
+        from m
+        left join m one on one.conv_id = m.conv_id and one.turn = m.turn - 1 and one.norm <> ''
+        left join m two on two.conv_id = m.conv_id and two.turn = m.turn - 2 and two.norm <> '' and one.turn is not null
+        left join first_said o1 on o1.conv_id = one.conv_id and o1.norm = one.norm
+        left join first_said o2 on o2.conv_id = two.conv_id and o2.norm = two.norm),
+    tree(conv_id, turn, thread_turn, depth) as (
+        select conv_id, turn, turn, 0 from q where origin1 is null
+        union all
+        select q.conv_id, q.turn, tree.thread_turn, tree.depth + 1
+        from q join tree on q.conv_id = tree.conv_id and q.origin1 = tree.turn)
+    select q.conv_id, q.turn, q.role, sha256(q.own) as text_sha256, q.origin1 as parent_turn, tree.thread_turn,
+        cast(tree.depth as bigint) as depth,
+        row_number() over (partition by q.conv_id order by tree.thread_turn, tree.depth, q.turn) - 1 as position,
+        (q.norm1 is not null)::bigint + (q.norm2 is not null)::bigint as n_quotes,
+        (q.origin1 is not null)::bigint + (q.origin2 is not null)::bigint as n_linked,
+        case when q.norm2 is not null then 2 when q.norm1 is not null then 1 else 0 end::bigint as max_level
+    from q join tree using (conv_id, turn)"""
+
+
+def as_mail(turns: DataFrame) -> DataFrame:
+    """The chat turns as a mail thread: each quotes the turn before it, and that turn's own quote one level deeper."""
+    text = F.coalesce("text", F.lit(""))
+    said = turns.select("conv_id", "turn", "role", text.alias("text"))
+    before = lambda n, c: said.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(c))
+    both = said.join(before(1, "one"), ["conv_id", "turn"], "left").join(before(2, "two"), ["conv_id", "turn"], "left")
+    marked = lambda c, mark: F.concat(F.lit(mark), F.regexp_replace(c, "\n", "\n" + mark), F.lit("\n"))
+    deeper = F.when(F.col("one").isNotNull(), F.coalesce(marked("two", "> > "), F.lit("")))
+    quoted = F.coalesce(F.concat(deeper, marked("one", "> ")), F.lit(""))
+    return both.select("conv_id", "turn", "role", F.concat(quoted, "text").alias("text"))
+
+
+@register("op1_quote_links", QUOTE_SQL)
+def quote_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Quotation linking over all conversations, written as mail threads with quotes two levels deep."""
+    found = quotes.conversations(as_mail(table(spark, folder, "conversations")), keep=("role",))
+    return found.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+
+
+@register("op2_minimax_shards")
+def minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes; equal texts stay together."""
+    text = F.coalesce("text", F.lit(""))
+    group, size = F.unhex(F.sha2(text, 256)), F.octet_length(text) + 8
+    rows = sharding.minimax_shards(
+        table(spark, folder, "documents"), group, size, "doc_id", 24, {"text_crc32": F.crc32(text.cast("binary"))}
+    )
+    return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+@register("op5_license_scan", licenses.oracle_sql())
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @register("op3_byte_bpe")
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every text, their digest, and the digest of the bytes they decode to."""
