@@ -10,7 +10,7 @@ Tasks that read documents hold two bit tables of fixed size, made from the MinHa
 drop values that no item has. What is left is joined to the items, and a pair that shares a MinHash value is verified: its
 containment is the number of the item's distinct shingles found anywhere in the document, over the number the item has.
 
-Defined results: null and empty texts and items have no shingles and match nothing; a text with fewer than five words is one shingle;
+Defined results: null and empty texts and items have no shingles and match nothing; items without an id are left out; a text with fewer than five words is one shingle;
 rows that repeat a document id or item id give one pair with the largest containment; columns other than the named ones are not
 read. Ties do not arise: every pair at or above the threshold is returned.
 """
@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.hashing import WORDS, lower_ascii, mix, shingle_hashes, word_hashes
+from tidemark.llm.ordering import restored, with_id
 from tidemark.operators.distributed import materialize
 
 PERMUTATIONS = 64
@@ -98,7 +99,7 @@ def find_contaminated(
 ) -> DataFrame:
     """Pairs (id, item) with ``n_shared``, ``n_item``, ``containment`` and ``text_key``, the md5 digest of the document's text."""
     known = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    known = known.mapInPandas(_item_rows, "item_id long, n_item long, size_class long, shingles array<long>, names array<long>")
+    known = known.where("item_id is not null").mapInPandas(_item_rows, "item_id long, n_item long, size_class long, shingles array<long>, names array<long>")
     known = materialize(known, "bench-items")
     item_names = known.select("item_id", F.explode("names").alias("value"))
     item_shingles = known.select("item_id", "n_item", F.explode("shingles").alias("value"))
@@ -110,20 +111,20 @@ def find_contaminated(
         name_table, shingle_table = shared.value
         for frame in frames:
             out = []
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+            for doc, no_id, text in zip(frame["doc_id"], frame["no_id"], frame["text"], strict=True):
                 found = _shingles(text)
                 hits = [names[_held(names, name_table)] for names in window_signatures(found, classes)]
                 names = np.unique(np.concatenate(hits)) if hits else found[:0]
                 if len(names):
                     parts = np.unique(found[_held(found, shingle_table)])
-                    out.append((doc, text, names.view(np.int64), parts.view(np.int64)))
-            result = pd.DataFrame(out, columns=["doc_id", "text", "names", "shingles"])
-            result["doc_id"] = result["doc_id"].astype("Int64")
-            yield result
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    read_rows = rows.where("text is not null").mapInPandas(read, "doc_id long, text string, names array<long>, shingles array<long>")
-    suspects = materialize(read_rows.select("doc_id", F.md5("text").alias("text_key"), "names", "shingles"), "bench-suspects")
+                    out.append((doc, no_id, text, names.view(np.int64), parts.view(np.int64)))
+            yield pd.DataFrame(out, columns=["doc_id", "no_id", "text", "names", "shingles"])
+
+    rows = docs.select(*with_id(F.col(id_col)), F.col(text_col).cast("string").alias("text"))
+    read_rows = rows.where("text is not null").mapInPandas(
+        read, "doc_id long, no_id boolean, text string, names array<long>, shingles array<long>"
+    )
+    suspects = materialize(restored(read_rows).select("doc_id", F.md5("text").alias("text_key"), "names", "shingles"), "bench-suspects")
     named = suspects.select("text_key", F.explode("names").alias("value"))
     pairs = named.join(item_names, "value").select("text_key", "item_id").distinct()
     parts = suspects.select("text_key", F.explode("shingles").alias("value")).distinct()

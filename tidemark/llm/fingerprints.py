@@ -20,6 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.ordering import restored, with_id
+
 BUCKETS = 1024
 LENGTH_CAP = 32
 _OPPOSITE = np.array([0, 1, 2, 6], dtype=np.int64)
@@ -57,8 +59,8 @@ def likeness(a: bytes, b: bytes) -> float:
 
 
 OUT_SCHEMA = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double, next_doc_id long"
+    "doc_id long, no_id boolean, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "near_edited double, near_next double"
 )
 
 
@@ -74,19 +76,17 @@ def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
     for frame in frames:
         out = []
-        for bucket, doc, text, edge in zip(frame["bucket"], frame["doc_id"], frame["text"], frame["edge"], strict=True):
+        for bucket, doc, no_id, text, edge in zip(*(frame[c] for c in ("bucket", "doc_id", "no_id", "text", "edge")), strict=True):
             raw = text.encode()
-            row = (bucket, None if pd.isna(doc) else int(doc), text, digest(raw))
+            row = (bucket, (doc, no_id), text, digest(raw))
             if held is not None and held[0] == bucket:
                 edited = with_half_of(held[2], text).encode()
                 mark = digest(edited)
                 sha = hashlib.sha256(edited).hexdigest()
                 near = likeness(held[3], mark), likeness(held[3], row[3])
-                out.append((held[1], len(held[2]), sha, held[3].hex(), mark.hex(), *near, row[1]))
+                out.append((*held[1], len(held[2]), sha, held[3].hex(), mark.hex(), *near))
             held = None if edge else row
-        result = pd.DataFrame(out, columns=names)
-        result["doc_id"], result["next_doc_id"] = result["doc_id"].astype("Int64"), result["next_doc_id"].astype("Int64")
-        yield result
+        yield pd.DataFrame(out, columns=names)
 
 
 def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bytes_per_range: int = 16 << 20) -> DataFrame:
@@ -111,7 +111,7 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     firsts = keyed.groupBy("bucket").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
     starts = {r["bucket"]: (r["first"]["doc_id"], r["first"]["hash"]) for r in firsts.collect()}
     if not starts:
-        return docs.sparkSession.createDataFrame([], OUT_SCHEMA)
+        return restored(docs.sparkSession.createDataFrame([], OUT_SCHEMA))
     order = sorted(starts)
     edges = docs.sparkSession.createDataFrame(
         [(order[i - 1], *starts[b]) for i, b in enumerate(order)], "bucket int, e_id long, e_hash long"
@@ -121,4 +121,4 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     borrowed = borrowed.dropDuplicates(["bucket"]).withColumn("edge", F.lit(True))
     placed = keyed.withColumn("edge", F.lit(False)).unionByName(borrowed)
     ordered = placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "edge", "doc_id", "hash")
-    return ordered.select("bucket", "doc_id", "text", "edge").mapInPandas(_compare, OUT_SCHEMA)
+    return restored(ordered.select("bucket", *with_id(F.col("doc_id")), "text", "edge").mapInPandas(_compare, OUT_SCHEMA))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators.distributed import materialize
 
@@ -28,3 +28,14 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], rows: int, label:
     inside = Window.partitionBy(*keys, "range").orderBy(*[F.col(c).asc_nulls_first() for c in order])
     number = (F.col("offset") + F.row_number().over(inside) - 1).alias(out)
     return ranged.join(offsets, [*keys, "range"]).select(*df.columns, number)
+
+
+def with_id(id_col: Column) -> list[Column]:
+    """The id without nulls and a flag for them: pandas would turn a nullable 64-bit id into a float."""
+    value = id_col.cast("long")
+    return [F.coalesce(value, F.lit(0)).alias("doc_id"), value.isNull().alias("no_id")]
+
+
+def restored(df: DataFrame) -> DataFrame:
+    """Undoes ``with_id``."""
+    return df.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")

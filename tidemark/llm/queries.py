@@ -9,7 +9,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, decontaminate, fingerprints, language, licenses, quality, quotes, sharding
+from tidemark.llm import bpe, decontaminate, fingerprints, jaccard_join, language, licenses, quality, quotes, sharding
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -136,6 +136,11 @@ def quality_score(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+@register("op8_jaccard_join")
+def jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.join_components(table(spark, folder, "documents")).drop("text_key")
+
+
 @register("op9_decontaminate", decontaminate.SQL)
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair of a document and a benchmark item of which it holds three quarters of the shingles or more."""
