@@ -153,6 +153,20 @@ def decode(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column:
     return run(ids)
 
 
+def round_trip(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str) -> Column:
+    """Struct of the ids of a text and the bytes that they decode to, in one pass over the text."""
+    shared = spark.sparkContext.broadcast(ranks)
+
+    @F.pandas_udf("ids array<int>, decoded binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        ids_of, bytes_of = encoder(shared.value, pattern), decoder(shared.value)
+        for batch in batches:
+            ids = [ids_of(t) for t in batch]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(list(map(bytes_of, ids)), dtype=object)})
+
+    return run(text.cast("string"))
+
+
 def rank_literal(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
     """One row with the rank table as an array of small maps, to be joined to distinct words or used as a scalar."""
     rows = spark.createDataFrame([(bytearray(p), r) for p, r in ranks.items()], "piece binary, rank int")

@@ -135,6 +135,14 @@ def find_contaminated(
     return best.select(F.col("doc_id").alias(id_col), "text_key", "item_id", "b.n_shared", "b.n_item", "b.containment")
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text holds no item."""
+    held = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    bad = find_contaminated(held, items, threshold).select("text_key").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_key"))
+    return rows.join(bad, "text_key", "left_anti").select("row.*")
+
+
 SQL = r"""
     with words as (
         select 'd' as kind, doc_id as id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents

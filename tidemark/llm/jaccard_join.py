@@ -134,7 +134,7 @@ def _sizes_fit(x: str, y: str) -> F.Column:
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_shingles``, ``component_id`` and ``text_key`` for every row."""
+    """``id_col``, ``n_shingles``, ``component_id``, and the hashes ``text_key`` and ``component`` for every row."""
     rows = docs.select(*with_id(F.col(id_col)), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("text"))
     texts = rows.select("key", "text")
@@ -196,4 +196,17 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "component", "left")
     own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), own, F.col("key").alias("text_key"))
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), own, F.col("key").alias("text_key"), "component")
+
+
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` with one of each component: the one with its smallest id. Texts without words all stay."""
+    found = join_components(docs, id_col, text_col).where("n_shingles > 0")
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("text_key").alias("key"))
+    best = materialize(found.groupBy("component").agg(F.min(order).alias("b")).select("b.key", "b.id"), "join-kept")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    worded = text.rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.select(F.struct("*").alias("row"), worded.alias("worded"), F.xxhash64(text).alias("key"))
+    chosen = rows.where("worded").join(best, "key").where(F.col(f"row.{id_col}").cast("long").eqNullSafe(F.col("id")))
+    kept = chosen.dropDuplicates(["key"]).select("row.*")
+    return kept.unionByName(rows.where("not worded").select("row.*"))

@@ -9,7 +9,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, decontaminate, fingerprints, jaccard_join, language, licenses, quality, quotes, sharding
+from tidemark.llm import bpe, decontaminate, fingerprints, jaccard_join, language, licenses, quality, quotes, sharding, suffix_dedup
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -114,6 +114,14 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", digests("text").alias("r")).select("doc_id", "r.*")
 
 
+@register("op4_suffix_dedup")
+def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every text once all bytes in repeated 400-byte strings are gone."""
+    cut = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    n_spans, digest = F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    return cut.select("row.doc_id", "n_bytes", "n_removed", n_spans, digest)
+
+
 def language_model(docs: DataFrame) -> dict[str, bytes]:
     return language.learn_dictionaries(docs.where(~language.held_out(F.col("doc_id"))))
 
@@ -138,7 +146,7 @@ def quality_score(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("op8_jaccard_join")
 def jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_join.join_components(table(spark, folder, "documents")).drop("text_key")
+    return jaccard_join.join_components(table(spark, folder, "documents")).drop("text_key", "component")
 
 
 @register("op9_decontaminate", decontaminate.SQL)
@@ -151,3 +159,10 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_fingerprints")
 def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_neighbours(table(spark, folder, "documents"))
+
+
+@register("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
