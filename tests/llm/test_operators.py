@@ -161,7 +161,7 @@ def test_items_of_all_sizes_are_found(spark):
 
 
 def test_classifier_without_both_labels(spark, odd):
-    assert quality.fit(odd.withColumn("quality", F.lit(1))) is None
+    assert quality.fit(odd, odd.select("doc_id", F.lit(1).alias("quality"))) is None
     assert odd.select(quality.score(F.col("text"), None).alias("s")).distinct().collect()[0]["s"] == 0.5
 
 

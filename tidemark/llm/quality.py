@@ -83,15 +83,21 @@ def train(texts: list[str | None], labels: list[int], dim: int = 8, epochs: int
     return Model(vectors, weights, bias)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", sample_rows: int = 2000) -> Model | None:
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 2000
+) -> Model | None:
     """Train on at most ``sample_rows`` rows of each class: those with the smallest text hashes.
 
-    The sample is a documented bound, and all that ever reaches the driver; None when a class is missing.
+    The sample is a documented bound, and all that ever reaches the driver; None when a class is missing. It is chosen on ids and
+    hashes, so no text is shuffled: the texts of the chosen rows come from a second scan that holds the bounded list.
     """
-    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"))
-    rows = rows.where("label in (0, 1)").withColumn("hash", F.xxhash64("text"))
-    picked = top_per_key(rows, ["label"], [F.col("hash"), F.col("text")], sample_rows).select("text", "label", "rank")
-    sample = sorted(picked.collect(), key=lambda r: (r["rank"], r["label"]))
+    hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    picked = top_per_key(hashed.join(marked, "id"), ["label"], [F.col("hash"), F.col("id")], sample_rows)
+    few = docs.sparkSession.createDataFrame(picked.select("id", "hash", "label", "rank").collect(), "id long, hash long, label int, rank int")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    found = texts.join(F.broadcast(few), ["id", "hash"]).dropDuplicates(["label", "rank"]).select("text", "label", "rank")
+    sample = sorted(found.collect(), key=lambda r: (r["rank"], r["label"]))
     if {r["label"] for r in sample} != {0, 1}:
         return None
     return train([r["text"] for r in sample], [r["label"] for r in sample])

@@ -138,8 +138,8 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
 def quality_score(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     labels = table(spark, folder, "labels").select("doc_id", "quality")
-    learned_from = docs.select("doc_id", "text").where(~language.held_out(F.col("doc_id"))).join(labels, "doc_id")
-    score = quality.score(F.col("text"), quality.fit(learned_from)).alias("score")
+    model = quality.fit(docs.where(~language.held_out(F.col("doc_id"))), labels)
+    score = quality.score(F.col("text"), model).alias("score")
     rows = docs.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), score)
     return rows.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
