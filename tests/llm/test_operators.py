@@ -52,6 +52,26 @@ def test_large_groups_count_windows(spark, odd, monkeypatch):
         assert sorted((r["n_bytes"], r["n_removed"], len(r["starts"]), bytes(r["kept"])) for r in rows) == want
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_edited_copies_by_both_ways(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    core = prose(rng, 700)
+    texts = []
+    for _ in range(40):
+        a, b = sorted(rng.sample(range(len(core)), 2))
+        piece = list(core[a : b + 500])
+        for _ in range(rng.randrange(4)):
+            piece[rng.randrange(len(piece))] = "#"
+        texts.append(prose(rng, rng.randrange(30)) + "".join(piece) + prose(rng, rng.randrange(30)))
+    texts += [texts[0][:-3] + "!", texts[0][:-7] + "?", texts[1] + "."]
+    want = sorted(brute.repeats_removed(texts))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for limit in (0, 20_000):
+        monkeypatch.setattr(suffix_dedup, "LARGEST", limit)
+        rows = suffix_dedup.remove_repeats(df).collect()
+        assert sorted((r["n_bytes"], r["n_removed"], len(r["starts"]), bytes(r["kept"])) for r in rows) == want
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_interval_expansion(seed):
     rng = random.Random(seed)

@@ -13,8 +13,8 @@ window to the left matter (its context).
    extension plus the common prefix reaches ``MIN_LENGTH`` the string is repeated.
 3. The reaches go back to all occurrences, are merged per text, and cut out. A text that occurs twice is repeated as a whole.
 
-Grams with more than ``LARGEST`` different contexts do not enter one task: the hashes of all their windows of ``MIN_LENGTH`` bytes
-are counted instead, which gives the same bytes by a plain aggregate.
+Grams with more than ``LARGEST`` different contexts do not enter one task: hashes of their windows of ``MIN_LENGTH`` bytes are counted
+instead, stretches of windows first, which gives the same bytes by plain aggregates.
 
 Defined results: null and empty texts have no bytes and lose none; a text shorter than ``MIN_LENGTH`` loses none; rows that repeat a text
 lose all of it when it is long enough, every copy alike; strings are judged on the input. Cuts may split a UTF-8 character, so the
@@ -36,7 +36,9 @@ MIN_LENGTH = 400
 GRAM = 32
 REACH = MIN_LENGTH - GRAM
 LARGEST = 20_000
+STRETCH = 20
 _BATCH = 20_000
+_SLICE = 4000
 _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _UP, _DOWN = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
@@ -113,6 +115,9 @@ def _cut_contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for w in wanted:
                 at = w["place"]
                 out.append((w["gram"], w["context"], raw[max(0, at - REACH) : at], raw[at : at + MIN_LENGTH]))
+            if len(out) >= _SLICE:
+                yield pd.DataFrame(out, columns=["gram", "context", "before", "after"])
+                out = []
         yield pd.DataFrame(out, columns=["gram", "context", "before", "after"])
 
 
@@ -199,14 +204,71 @@ def _expand_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield run(pd.concat(held, ignore_index=True))
 
 
-def _window_hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _names(rows: list[tuple], what: list[str]) -> pd.DataFrame:
+    """Columns of many small arrays put together, with the gram and the context repeated for each."""
+    lengths = [len(r[2]) for r in rows]
+    out = {c: np.repeat(np.array([r[i] for r in rows], dtype=np.int64), lengths) for i, c in enumerate(("gram", "context"))}
+    return pd.DataFrame(out | {c: np.concatenate([r[i + 2] for r in rows]) if rows else [] for i, c in enumerate(what)})
+
+
+def _stretch_names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For every stretch of depths of a context the hash of what all its windows have in common, and of all they cover.
+
+    Windows start ``depth`` bytes before the anchor. The cover is left out (kind 0 only) where the context does not hold it whole.
+    """
+    for frame in frames:
+        for at in range(0, len(frame), 500):
+            rows = []
+            for gram, context, before, after in zip(*(frame[c].iloc[at : at + 500] for c in ("gram", "context", "before", "after")), strict=True):
+                of, anchor = Substrings(np.frombuffer(before + after, dtype=np.uint8)), len(before)
+                size = anchor + len(after)
+                first = np.arange(0, REACH + 1, STRETCH)
+                last = first + STRETCH - 1
+                core = (anchor - first >= 0) & (anchor + MIN_LENGTH - last <= size)
+                cover = (anchor - last >= 0) & (anchor + MIN_LENGTH - first <= size) & (last <= REACH)
+                names = [of.hashes(anchor - first[core], anchor + MIN_LENGTH - last[core]), of.hashes(anchor - last[cover], anchor + MIN_LENGTH - first[cover])]
+                kinds = np.repeat(np.arange(2), [len(n) for n in names])
+                rows.append((gram, context, np.concatenate([first[core], first[cover]]), kinds, np.concatenate(names).view(np.int64)))
+            yield _names(rows, ["first", "kind", "name"])
+
+
+def _window_names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hashes of the windows of the wanted stretches of a context."""
     for frame in frames:
-        for gram, context, before, after in zip(*(frame[c] for c in ("gram", "context", "before", "after")), strict=True):
-            raw = np.frombuffer(before + after, dtype=np.uint8)
-            starts = np.arange(max(0, len(raw) - MIN_LENGTH + 1))
-            starts = starts[starts <= len(before)]
-            names = Substrings(raw).hashes(starts, starts + MIN_LENGTH).view(np.int64)
-            yield pd.DataFrame({"gram": gram, "context": context, "depth": len(before) - starts, "name": names})
+        for at in range(0, len(frame), 500):
+            rows = []
+            for gram, context, before, after, wanted in zip(*(frame[c].iloc[at : at + 500] for c in ("gram", "context", "before", "after", "wanted")), strict=True):
+                of, anchor = Substrings(np.frombuffer(before + after, dtype=np.uint8)), len(before)
+                depth = np.concatenate([np.arange(f, min(f + STRETCH, REACH + 1)) for f in wanted])
+                depth = depth[(depth <= anchor) & (MIN_LENGTH - depth <= len(after))]
+                rows.append((gram, context, depth, of.hashes(anchor - depth, anchor - depth + MIN_LENGTH).view(np.int64)))
+            yield _names(rows, ["depth", "name"])
+
+
+def _counted_reaches(contexts: DataFrame) -> DataFrame:
+    """The same as ``expand`` for grams of any number of contexts, by counting hashes.
+
+    Depths are taken in stretches. Where all that the windows of a stretch cover occurs twice, all of them do; where what they have in
+    common occurs once, none does; only the windows of the other stretches are hashed one by one, and those of one context for each
+    repeated cover, which they may meet.
+    """
+    stretches = materialize(contexts.mapInPandas(_stretch_names, "gram long, context long, first long, kind int, name long"), "suffix-stretches")
+    again = stretches.groupBy("gram", "first", "kind", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    seen = materialize(stretches.join(again, ["gram", "first", "kind", "name"]), "suffix-seen")
+    per = seen.groupBy("gram", "context", "first").agg(F.max("kind").alias("covered"))
+    whole = per.where("covered = 1").groupBy("gram", "context").agg(
+        F.max(F.col("first") + STRETCH - 1).alias("to_left"), F.max(F.lit(MIN_LENGTH) - F.col("first")).alias("to_right")
+    )
+    one_each = seen.where("kind = 1").groupBy("gram", "first", "name").agg(F.min("context").alias("context"))
+    wanted = per.where("covered = 0").select("gram", "context", "first").unionByName(one_each.select("gram", "context", "first"))
+    wanted = wanted.groupBy("gram", "context").agg(F.collect_set("first").alias("wanted"))
+    open_windows = contexts.join(wanted, ["gram", "context"])
+    names = materialize(open_windows.mapInPandas(_window_names, "gram long, context long, depth long, name long"), "suffix-windows")
+    twice = names.groupBy("gram", "depth", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    single = names.join(twice, ["gram", "depth", "name"]).groupBy("gram", "context").agg(
+        F.max("depth").alias("to_left"), F.max(F.lit(MIN_LENGTH) - F.col("depth")).alias("to_right")
+    )
+    return whole.unionByName(single).select("gram", "context", F.col("to_left").cast("long").alias("to_left"), F.col("to_right").cast("long").alias("to_right"))
 
 
 def reaches(contexts: DataFrame, groups: DataFrame) -> DataFrame:
@@ -214,13 +276,8 @@ def reaches(contexts: DataFrame, groups: DataFrame) -> DataFrame:
     dealt = contexts.join(groups.select("gram", (F.col("different") > LARGEST).alias("large")), "gram")
     small = dealt.where("not large").drop("large").repartition("gram").sortWithinPartitions("gram", "context")
     expanded = small.mapInPandas(_expand_groups, "gram long, context long, to_left long, to_right long")
-    large = dealt.where("large").drop("large").dropDuplicates(["gram", "context"])
-    names = large.mapInPandas(_window_hashes, "gram long, context long, depth long, name long")
-    again = names.groupBy("gram", "depth", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    counted = names.join(again, ["gram", "depth", "name"]).groupBy("gram", "context").agg(
-        F.max("depth").alias("to_left"), F.max(F.lit(MIN_LENGTH) - F.col("depth")).cast("long").alias("to_right")
-    )
-    return expanded.unionByName(counted)
+    large = materialize(dealt.where("large").drop("large").dropDuplicates(["gram", "context"]), "suffix-large")
+    return expanded.unionByName(_counted_reaches(large))
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
