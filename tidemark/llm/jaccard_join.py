@@ -2,15 +2,17 @@
 
 Tokens are the distinct five-word shingles of a text. Two sets of similarity t share at least ceil(t * n) tokens of either,
 so after putting all tokens into one global order they must meet in their prefixes. Rare tokens come first in the order and
-are indexed one by one. Frequent tokens come last and fall into ``CLASSES`` classes, of which pairs are indexed: when rare
-tokens do not fill the prefix it is extended with frequent ones until the tokens it may lose cannot break every pair,
-that is until rare + sum over classes of (members - 1) exceeds n - ceil(t * n). A bucket of a pair is smaller than that of a token.
-Texts of fewer than ``SHORT`` shingles index single tokens only; those just above do both, so that a short and a longer one meet.
+are indexed one by one. Frequent tokens come last and fall into classes, of which pairs are indexed: when rare tokens do not fill
+the prefix it is extended with frequent ones until the tokens it may lose cannot break every pair, that is until rare +
+sum over classes of (members - 1) exceeds n - ceil(t * n). A bucket of a pair is smaller than that of a token. The number of classes
+follows the size band of the set (powers of two), which keeps the pairs of a text in proportion to its length; a text also
+makes the pairs of the next band when a text that links to it may lie there. Texts of fewer than ``SHORT`` shingles index single tokens
+only; those just above do both, so that a short and a longer one meet.
 
 Which tokens are frequent is found by counting runs of shingles over all documents. Any choice gives the same links, since the order
 only has to be the same for all; the list is limited to the ``FREQUENT`` most counted ones, a fixed size to broadcast.
 
-Buckets are never expanded into all pairs. Each is first compared with its smallest member; linked texts fall into
+Buckets with the same members are one. They are never expanded into all pairs: each is first compared with its smallest member; linked texts fall into
 components, and only buckets that still hold several components go on: members outside the largest component are compared with
 the others, some at a time, until every bucket is done. So no link between two components is lost, whatever the bucket's size.
 
@@ -33,11 +35,12 @@ from tidemark.llm.ordering import restored, with_id
 from tidemark.operators.distributed import materialize
 
 PERCENT = 75
-CLASSES = 8
+BAND_SHARE = 8
 SHORT = 16
 FREQUENT = 1 << 18
 RUN, RUN_COUNT = 1 << 22, 3
 PER_TASK = 1000
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _frequent_in_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,16 +87,19 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, place: np.ndarray) ->
     keys = []
     if n < SHORT * 100 // PERCENT + 1:
         keys.append(often[:missing])
-    if n >= SHORT:
-        group = (mix(often) % np.uint64(CLASSES)).astype(np.int64)
+    for band in {n.bit_length(), (100 * n // PERCENT).bit_length()} if n >= SHORT else ():
+        group = (mix(often) % np.uint64((1 << band - 1) // BAND_SHARE)).astype(np.int64)
         repeats = np.ones(len(often), dtype=np.int64)
         repeats[np.unique(group, return_index=True)[1]] = 0
         length = int(np.searchsorted(np.cumsum(repeats), missing)) + 1
-        often, group = often[:length], group[:length]
-        for c in range(CLASSES):
-            members = often[group == c]
-            i, j = np.triu_indices(len(members), 1)
-            keys.append(mix(np.minimum(members[i], members[j]) * np.uint64(0xD6E8FEB86659FD93) + np.maximum(members[i], members[j])))
+        by_class = np.argsort(group[:length], kind="stable")
+        members, classes = often[:length][by_class], group[:length][by_class]
+        for gap in range(1, length):
+            same = classes[gap:] == classes[:-gap]
+            if not same.any():
+                break
+            one, other = members[gap:][same], members[:-gap][same]
+            keys.append(mix(np.minimum(one, other) * _STEP + np.maximum(one, other) + np.uint64(band)))
     return rare, np.concatenate(keys)
 
 
@@ -153,43 +159,45 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     schema = "doc_id long, no_id boolean, key long, n int, rare array<long>, often array<long>"
     indexed = materialize(restored(rows.mapInPandas(index, schema)), "join-index")
-    by_key = Window.partitionBy("token")
+    members = F.xxhash64("key")
+    facts = {
+        "first": F.min(F.struct("key", "n")), "last": F.max("key"), "high": F.sum(F.shiftright(members, 32)),
+        "low": F.sum(members.bitwiseAND(F.lit(0xFFFFFFFF))), "count": F.count(F.lit(1)),
+    }
     rare = indexed.select(F.explode("rare").alias("token"), "key", "n")
-    rare = rare.withColumns({"first": F.min(F.struct("key", "n")).over(by_key), "last": F.max("key").over(by_key)})
+    rare = rare.withColumns({c: f.over(Window.partitionBy("token")) for c, f in facts.items()}).where("first.key <> last")
     often = indexed.select(F.explode("often").alias("token"), "key", "n")
-    ends = often.groupBy("token").agg(F.min(F.struct("key", "n")).alias("first"), F.max("key").alias("last"))
-    often = often.join(ends.where("first.key <> last"), "token")
-    live = materialize(
-        rare.where("first.key <> last").withColumn("kind", F.lit(0)).unionByName(often.withColumn("kind", F.lit(1)))
-        .drop("last").withColumnRenamed("token", "bucket"),
-        "join-live",
-    )
-    pairs = live.where((F.col("key") != F.col("first.key")) & _sizes_fit("n", "first.n"))
-    pairs = materialize(pairs.select(F.col("first.key").alias("a"), F.col("key").alias("b")).distinct(), "join-pairs")
+    shared = often.groupBy("token").agg(*[f.alias(c) for c, f in facts.items()]).where("first.key <> last")
+    met = rare.unionByName(often.join(shared, "token"))
+    bucket = F.xxhash64("high", "low", "count").alias("bucket")
+    live = met.select(bucket, "key", "n", F.col("first.key").alias("first_key"), F.col("first.n").alias("first_n"))
+    live = materialize(live.dropDuplicates(["bucket", "key"]), "join-live")
+    pairs = live.where((F.col("key") != F.col("first_key")) & _sizes_fit("n", "first_n"))
+    pairs = materialize(pairs.select(F.col("first_key").alias("a"), F.col("key").alias("b")).distinct(), "join-pairs")
     links = materialize(verified(pairs, texts), "join-links")
     tried = pairs
-    live, at_once = live.select("kind", "bucket", "key", "n").distinct(), 64
+    live, at_once = live.select("bucket", "key", "n"), 64
     while True:
         component = connected_components(links, "join-components")
         placed = live.join(component.withColumnRenamed("node", "key"), "key", "left")
         placed = placed.withColumn("component", F.coalesce("component", "key"))
-        counted = placed.groupBy("kind", "bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-        mixed = counted.groupBy("kind", "bucket").agg(
+        counted = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+        mixed = counted.groupBy("bucket").agg(
             F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("k")
-        ).where("k > 1").select("kind", "bucket", F.col("m.component").alias("main"))
-        open_rows = materialize(placed.join(mixed, ["kind", "bucket"]), "join-open")
-        first = Window.partitionBy("kind", "bucket").orderBy("key")
+        ).where("k > 1").select("bucket", F.col("m.component").alias("main"))
+        open_rows = materialize(placed.join(mixed, ["bucket"]), "join-open")
+        first = Window.partitionBy("bucket").orderBy("key")
         chosen = open_rows.where("component <> main").withColumn("r", F.row_number().over(first)).where(F.col("r") <= at_once)
-        chosen = materialize(chosen.select("kind", "bucket", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("component").alias("component2")), "join-chosen")
+        chosen = materialize(chosen.select("bucket", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("component").alias("component2")), "join-chosen")
         if chosen.isEmpty():
             break
-        met = open_rows.join(chosen, ["kind", "bucket"]).where((F.col("component") != F.col("component2")) & _sizes_fit("n", "n2"))
+        met = open_rows.join(chosen, ["bucket"]).where((F.col("component") != F.col("component2")) & _sizes_fit("n", "n2"))
         new = met.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
         new = materialize(new.join(tried, ["a", "b"], "left_anti"), "join-pairs")
         links = materialize(links.unionByName(verified(new, texts)), "join-links")
         tried = tried.unionByName(new)
-        done = chosen.select("kind", "bucket", F.col("key2").alias("key"))
-        live = materialize(open_rows.select("kind", "bucket", "key", "n").join(done, ["kind", "bucket", "key"], "left_anti"), "join-live")
+        done = chosen.select("bucket", F.col("key2").alias("key"))
+        live = materialize(open_rows.select("bucket", "key", "n").join(done, ["bucket", "key"], "left_anti"), "join-live")
         at_once *= 4
     named = indexed.select("doc_id", "key", "n").join(component.withColumnRenamed("node", "key"), "key", "left")
     named = named.withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "key")))
