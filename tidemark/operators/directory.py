@@ -128,10 +128,9 @@ def has_keyword(text: Column, keywords: Sequence[str]) -> Column:
 
 
 def contains_any(text: Column, keywords: Sequence[str]) -> Column:
-    """Plain substring test for each of a short fixed list. The text is lowered once; the list is one constant."""
-    words = F.split(F.lit("\n".join(keywords)), "\n")
-    tested = F.transform(F.array(F.lower(text)), lambda low: F.exists(words, lambda k: F.contains(low, k)))
-    return F.coalesce(F.get(tested, F.lit(0)), F.lit(False))
+    """Plain substring test for each of a short fixed list, as one compiled pattern."""
+    either = "|".join(re.escape(k) for k in keywords)
+    return F.coalesce(F.lower(text).rlike(either), F.lit(False)) if keywords else F.lit(False)
 
 
 def policy_class(text: Column, keywords: Mapping[str, Sequence[str]] = POLICY_KEYWORDS) -> Column:
@@ -152,11 +151,16 @@ def phrase(cls: Column, lang: Column, company: str = "company", phrases: Mapping
     return out
 
 
+# What a tampered question stands behind (everything after the dash, however long; the last marker).
+AFTER_DASH = r"[—–-]\s*(.{5,})$"
+AFTER_MARKER = r"(?i)====new user====|\]\s*"
+
+
 def unwrap_question(text: Column) -> Column:
-    """The real question inside tampered text: what follows a dash, else the part after the last marker."""
+    """The real question inside tampered text: all that follows a dash, else the part after the last marker."""
     marked = contains_any(text, INJECTION_MARKERS)
-    tail = F.nullif(F.trim(F.regexp_extract(text, r"[—–-]\s*(.{5,120})$", 1)), F.lit(""))
-    last = F.trim(F.element_at(F.split(text, r"(?i)====new user====|\]\s*"), -1))
+    tail = F.nullif(F.trim(F.regexp_extract(text, AFTER_DASH, 1)), F.lit(""))
+    last = F.trim(F.element_at(F.split(text, AFTER_MARKER), -1))
     inner = F.when((F.length(last) > 4) & (last != F.trim(text)), last)
     return F.when(marked, F.coalesce(tail, inner, text)).otherwise(text)
 
@@ -440,12 +444,29 @@ def contact_text(name: Column, ext: Column, email: Column, lang: Column) -> Colu
     return F.concat_ws(" | ", name, F.concat(label, number), F.nullif(F.trim(email), F.lit("")))
 
 
+# Rows of a listing without a number in the question, and the largest number a question can name.
+DEFAULT_LISTING = 30
+LARGEST_LISTING = 99
+
+
 def numbered_list(df: DataFrame, keys: Sequence[str], line: str, order: str, limit: int, out: str = "listing") -> DataFrame:
     """``1. ...`` lines of the first ``limit`` rows per key."""
+    return numbered_lines(df, keys, line, order, limit).select(*keys, F.array_join("lines", "\n").alias(out))
+
+
+def numbered_lines(df: DataFrame, keys: Sequence[str], line: str, order: str, limit: int) -> DataFrame:
+    """``lines``, the first ``limit`` numbered rows of each key as an array, so that every question can take as many as it asks for."""
     head = top_per_key(df, keys, [F.asc(order)], limit, out="__r")
     rows = F.sort_array(F.collect_list(F.struct("__r", F.col(line).alias("t"))))
-    text = F.array_join(F.transform(rows, lambda r: F.concat(r["__r"].cast("string"), F.lit(". "), r["t"])), "\n")
-    return head.groupBy(*keys).agg(text.alias(out))
+    lines = F.transform(rows, lambda r: F.concat(r["__r"].cast("string"), F.lit(". "), r["t"]))
+    return head.groupBy(*keys).agg(lines.alias("lines"))
+
+
+def limited_listing(lines: Column, limit: Column, total: Column) -> Column:
+    """The lines asked for (30 when no number is named), and how many of how many when some are left out."""
+    wanted = F.coalesce(limit, F.lit(DEFAULT_LISTING))
+    shown = F.array_join(F.slice(lines, F.lit(1), wanted), "\n")
+    return F.when(wanted < total, F.concat(shown, F.lit("\n("), wanted.cast("string"), F.lit(" of "), total.cast("string"), F.lit(")"))).otherwise(shown)
 
 
 def canonical_nickname(answer: Column, lang: Column) -> Column:

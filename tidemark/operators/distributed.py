@@ -28,17 +28,6 @@ def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_scan(df: DataFrame, key: str, per_core: int = 2) -> DataFrame:
-    """Hash a table scan over all cores when the files give too few splits (one huge row group, say).
-
-    Only the number of input splits is looked at; a scan that already has enough is returned unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= per_core * cores:
-        return df
-    return df.repartition(cores, key)
-
-
 def hash_bucket(digest: Column, digits: int = 4) -> Column:
     """Leading hex digits of a digest as a number; rises with the digest, so it may bucket an order by digest."""
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("int")

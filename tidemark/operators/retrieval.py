@@ -22,16 +22,28 @@ def idf(df: Column, n_docs: Column) -> Column:
 def postings(docs: DataFrame, key: str, text: str, tokenize: Callable[[Column], Column]) -> DataFrame:
     """(key, term, tf, dl, norm): term counts with the document's length and vector norm.
 
-    Raw texts are hashed by key once; tokens, counts and per-document sums then need no further shuffle.
+    Counts are made inside the row, as runs of the sorted tokens: a document never leaves its task, and no text is shuffled.
     """
-    spread = docs.select(key, text).repartition(key).select(key, F.explode(tokenize(F.col(text))).alias("term"))
-    counts = spread.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    per_doc = Window.partitionBy(key)
-    return counts.select(
-        key, "term", "tf",
-        F.sum("tf").over(per_doc).alias("dl"),
-        F.sqrt(F.sum((F.col("tf") * F.col("tf")).cast("double")).over(per_doc)).alias("norm"),
+    counted = F.transform(F.array(F.sort_array(tokenize(F.col(text)))), _runs)
+    rows = docs.select(key, F.explode(counted).alias("runs"))
+    squares = F.aggregate("runs", F.lit(0.0), lambda a, r: a + (r["tf"] * r["tf"]).cast("double"))
+    total = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["tf"])
+    rows = rows.select(key, total.alias("dl"), F.sqrt(squares).alias("norm"), F.explode("runs").alias("r"))
+    return rows.select(key, "r.term", "r.tf", "dl", "norm")
+
+
+def _runs(tokens: Column) -> Column:
+    """(term, tf) structs of a sorted token array."""
+    places = F.filter(
+        F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("at"))),
+        lambda p: (p["at"] == 0) | (F.get(tokens, p["at"] - 1) != p["term"]),
     )
+    lengths = lambda p, i, all_places: F.coalesce(F.get(all_places, i + 1)["at"], F.size(tokens)) - p["at"]
+    runs = F.transform(
+        F.array(places),
+        lambda q: F.transform(q, lambda p, i: F.struct(p["term"].alias("term"), lengths(p, i, q).cast("long").alias("tf"))),
+    )
+    return F.get(runs, F.lit(0))
 
 
 @dataclass(frozen=True)
@@ -206,40 +218,6 @@ def dense_topk(
     return rank_top(named, query_key, chunk_key, k)
 
 
-def dense_topk_streamed(
-    chunks: DataFrame,
-    chunk_key: str,
-    chunk_vec: str,
-    queries: DataFrame,
-    query_key: str,
-    query_vec: str,
-    k: int,
-    max_queries: int = 4096,
-) -> DataFrame:
-    """Same result without shuffling the chunk vectors, for a checked small number of queries.
-
-    Reads at most ``max_queries + 1`` query rows; a larger query table takes the block grid instead.
-    """
-    head = queries.select(query_key, query_vec).orderBy(query_key).limit(max_queries + 1).toPandas()
-    if len(head) > max_queries or head.empty:
-        return dense_topk(chunks, chunk_key, chunk_vec, queries, query_key, query_vec, k)
-    qids = head[query_key].to_numpy()
-    qmat = np.stack(head[query_vec].to_numpy()).astype(np.float64)
-    id_type = chunks.schema[chunk_key].dataType.simpleString()
-    q_type = queries.schema[query_key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield _best_rows(pdf, qids, qmat, k)
-
-    best = chunks.select(F.col(chunk_key).alias("__id"), F.col(chunk_vec).alias("__v")).mapInPandas(
-        run, f"__q {q_type}, __id {id_type}, score double"
-    )
-    named = best.select(F.col("__q").alias(query_key), F.col("__id").alias(chunk_key), "score")
-    return rank_top(named, query_key, chunk_key, k)
-
-
 def hashed_vectors(df: DataFrame, key: str, tokens: Column, buckets: int = 1 << 12) -> DataFrame:
     """Unit-length TF-IDF vectors of hashed tokens, as a stand-in where no sentence encoder is available."""
     from pyspark.ml.feature import IDF, HashingTF, Normalizer

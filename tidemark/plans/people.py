@@ -45,7 +45,7 @@ def sql_unwrap(col: str = "text") -> str:
     inner = rf"trim(regexp_split_to_array({col}, '(?i)====new user====|\]\s*')[-1])"
     return (
         f"case when {sql_any(f'lower({col})', di.INJECTION_MARKERS)} then coalesce("
-        rf"nullif(trim(regexp_extract({col},'[—–-]\s*(.{{5,120}})$',1)),''), "
+        rf"nullif(trim(regexp_extract({col},'[—–-]\s*(.{{5,}})$',1)),''), "
         f"case when length({inner})>4 and {inner}<>trim({col}) then {inner} end, {col}) else {col} end"
     )
 
@@ -124,7 +124,7 @@ def code_lookup(t: Tables) -> DataFrame:
 )
 def longest_alias(t: Tables) -> DataFrame:
     words = t.benchmark.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("alias"))
-    return di.longest_alias(t.texts("documents", "doc_id", "text"), "doc_id", "text", words, min_len=6)
+    return di.longest_alias(t.documents.select("doc_id", "text"), "doc_id", "text", words, min_len=6)
 
 
 @query(
@@ -477,13 +477,16 @@ ROUTE = (
       em as (select qid, lang, p.* from asks join people p on p.email = lower(regexp_extract(text,'[\\w.+-]+@[\\w-]+\\.[\\w.]+'))),
       cw as (select qid, regexp_extract_all(upper(text),'\\b([A-Z0-9][A-Z0-9\\-]{{2,15}})\\b',1) as ws from asks),
       cf as (select qid, arg_min(ws[i], i) as code from cw, unnest(range(1,len(ws)+1)) r(i) where ws[i] in (select dept from people) group by 1),
-      cd as (select qid, lang, {SQL_IS_COUNT} as is_count, {SQL_IS_LIST} as is_list, code from asks join cf using (qid)),
+      cd as (select qid, lang, {SQL_IS_COUNT} as is_count, {SQL_IS_LIST} as is_list, code,
+        case when {SQL_IS_LIST} then try_cast(nullif(regexp_extract(text,'\\b([1-9][0-9]?)\\b',1),'') as bigint) end as list_limit
+        from asks join cf using (qid)),
       """
     + NICK_DEPT_SQL.strip().replace("UTEXT", "asks")
     + ", "
     + BIGRAM_SQL.strip().replace("UTEXT", "asks")
     + ", "
-    + LISTING.strip()
+    + f"""ll as (select dept, list(r||'. '||{NAME} order by r) as lines from
+        (select *, row_number() over (partition by dept order by emp_id) as r from people) where r<=99 group by 1)"""
     + f""", dc as (select dept, count(*) as n from people group by 1),
       nf as (select qid, lang, {sql_phrase("'person_not_found'")} as phrase, {sql_asked('lower(text)')} as asked from asks),
       ru as (
@@ -491,7 +494,8 @@ ROUTE = (
         union all select qid, 2, {CONTACT} from ex
         union all select qid, 3, {CONTACT} from em
         union all select qid, 4, case when lang='th' then 'แผนก '||code||' มี '||n||' คน' else code||' has '||n||' employees' end from cd join dc on dept=code where is_count
-        union all select qid, 5, listing from cd join li on dept=code where is_list and not is_count
+        union all select qid, 5, array_to_string(lines[1:least(k, n)], chr(10))||case when k<n then chr(10)||'('||k||' of '||n||')' else '' end
+          from (select *, coalesce(list_limit, 30) as k from cd join ll on ll.dept=code join dc on dc.dept=code where is_list and not is_count)
         union all select qid, 6, case when emp_id is null then phrase when asked='phone' then {CONTACT} else {IDENTITY} end
           from nk join nf using (qid) left join ni using (name_key, dept_key)
           where name_key<>'' and name_key not in ('WHO','MANY','HOW','THE','AND','FOR','ALL') and coalesce(r,1)=1
@@ -544,10 +548,13 @@ def route_cascade(t: Tables) -> DataFrame:
         F.col("lang") == "th", F.concat(F.lit("แผนก "), "dept", F.lit(" มี "), F.col("n").cast("string"), F.lit(" คน"))
     ).otherwise(F.concat("dept", F.lit(" has "), F.col("n").cast("string"), F.lit(" employees")))
     count = first_code.where("is_count").select("qid", F.lit(4).alias("priority"), count_text.alias("answer"))
-    listings = di.numbered_list(
-        folk.select("dept", "emp_id", di.full_name("first_name", "last_name").alias("line")), ["dept"], "line", "emp_id", 30
+    lines = di.numbered_lines(
+        folk.select("dept", "emp_id", di.full_name("first_name", "last_name").alias("line")), ["dept"], "line", "emp_id", di.LARGEST_LISTING
+    )
+    asked_for = first_code.where("not is_count").join(lines, "dept").join(q.select("qid", "list_limit"), "qid")
+    listing = asked_for.select(
+        "qid", F.lit(5).alias("priority"), di.limited_listing(F.col("lines"), F.col("list_limit"), F.col("n")).alias("answer")
     )
-    listing = first_code.where("not is_count").join(listings, "dept").select("qid", F.lit(5).alias("priority"), F.col("listing").alias("answer"))
 
     nick_index = di.nickname_index(folk.withColumnRenamed("dept", "home"), ["nickname", "first_name"], "home", "ext", F.col("code"), "emp_id")
     nick = (

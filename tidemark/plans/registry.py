@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators.distributed import spread_scan
 
 
 class Tables:
@@ -22,10 +21,6 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def texts(self, name: str, key: str, *cols: str) -> DataFrame:
-        """Named columns of a text table for costly per-row work, spread over all cores if its scan is not."""
-        return spread_scan(getattr(self, name).select(key, *cols), key)
-
 
 @dataclass(frozen=True)
 class Query:

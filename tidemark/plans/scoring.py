@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import numbers as num
 from tidemark.operators import aggregates as ag, grading as gr
+from tidemark.plans.search import class_centres
 from tidemark.plans.registry import Tables, query
 
 
@@ -47,18 +48,30 @@ def calibration_curve(t: Tables) -> DataFrame:
     )
 
 
+SHARPNESS = 5.0
+
+
 def predicted(t: Tables) -> DataFrame:
-    """Vectors as class scores: the first ten entries, softmaxed."""
-    probs = num.softmax(F.slice("embedding", 1, 10))
-    return t.embeddings.select("vec_id", "label", probs.alias("probs")).select(
-        "vec_id", "label", num.argmax_index(F.col("probs")).alias("pred"), F.array_max("probs").alias("confidence")
-    )
+    """Vectors scored against every class centre over all entries; the softmax of the scores gives pred and confidence."""
+    centres = class_centres(t).agg(F.sort_array(F.collect_list(F.struct(F.col("label"), F.col("qv")))).alias("c")).scalar()
+    unit = t.embeddings.select("vec_id", "label", num.l2_normalize(F.col("embedding")).alias("v"), centres.alias("c"))
+    dot = lambda q: F.aggregate(F.zip_with(q, "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    probs = num.softmax(F.transform("c", lambda c: F.round(dot(c["qv"]) * SHARPNESS, 9)))
+    scored = unit.select("vec_id", "label", "c", probs.alias("probs"))
+    best = F.get(F.col("c"), num.argmax_index(F.col("probs")))["label"]
+    return scored.select("vec_id", "label", best.alias("pred"), F.array_max("probs").alias("confidence"))
 
 
 PRED = """
-    with e as (select vec_id, label, list_transform(embedding[1:10], lambda x: x::double) as v from embeddings),
-      x as (select vec_id, label, v, list_transform(v, lambda s: exp(s-list_max(v))) as ex from e),
-      p as (select vec_id, label, (list_position(v, list_max(v))-1)::bigint as pred, list_max(ex)/list_sum(ex) as confidence from x)"""
+    with u as (select vec_id, label, list_transform(embedding, lambda x: x::double/sqrt(list_inner_product(embedding::double[],embedding::double[]))) as v
+        from embeddings),
+      cp as (select label, i, avg(v[i]) as x from u, unnest(range(1,len(v)+1)) r(i) group by 1,2),
+      cm as (select label, list(x order by i) as m from cp group by 1),
+      cq as (select label, list_transform(m, lambda x: x/sqrt(list_inner_product(m,m))) as q from cm),
+      cs as (select u.vec_id, u.label, cq.label as c, round(list_inner_product(q,v)*5,9) as s from u cross join cq),
+      e as (select vec_id, label, list(s order by c) as v, list(c order by c) as cls from cs group by 1,2),
+      x as (select vec_id, label, v, cls, list_transform(v, lambda s: exp(s-list_max(v))) as ex from e),
+      p as (select vec_id, label, cls[list_position(v, list_max(v))]::bigint as pred, list_max(ex)/list_sum(ex) as confidence from x)"""
 
 
 @query("argmax_class", PRED + " select vec_id, pred, round(confidence,6) as confidence from p")
@@ -183,7 +196,7 @@ def output_assertions(t: Tables) -> DataFrame:
 def truth_and_answers(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Rules and answers made from document texts; an answer exists for the labelled documents only."""
     first = F.lower(F.element_at(F.split("text", " "), 1))
-    d = t.texts("documents", "doc_id", "text", "source", "lang", "n_chars")
+    d = t.documents.select("doc_id", "text", "source", "lang", "n_chars")
     strings = "array<string>"
     truth = d.select(
         F.col("doc_id").cast("string").alias("id"),

@@ -69,7 +69,7 @@ def ranked(df: DataFrame) -> DataFrame:
 def hashed_text_vectors(t: Tables) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    out = rt.hashed_vectors(t.texts("documents", "doc_id", "text"), "doc_id", tokens(), 1 << 10)
+    out = rt.hashed_vectors(t.documents.select("doc_id", "text"), "doc_id", tokens(), 1 << 10)
     arr = vector_to_array("vector")
     return out.select("doc_id", F.size(F.filter(arr, lambda x: x != 0)).alias("nonzero"), F.round(num.dot(arr, arr), 6).alias("norm2"))
 
@@ -187,7 +187,7 @@ def _dense(t: Tables, fn) -> DataFrame:
 
 @query("dense_topk", DENSE)
 def dense_topk(t: Tables) -> DataFrame:
-    return _dense(t, rt.dense_topk_streamed)
+    return _dense(t, rt.dense_topk)
 
 
 @query("dense_topk_grid", DENSE)

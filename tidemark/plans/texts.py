@@ -33,7 +33,7 @@ def tokens(col: str = "text"):
 )
 def vocabulary_build(t: Tables) -> DataFrame:
     return ch.vocabulary(
-        (t.texts("documents", "doc_id", "text"), "text"), (t.benchmark, "text"), (t.conversations, "text"), extra=t.part.select("p_type")
+        (t.documents.select("doc_id", "text"), "text"), (t.benchmark, "text"), (t.conversations, "text"), extra=t.part.select("p_type")
     )
 
 
@@ -55,7 +55,7 @@ def space_positions(t: Tables) -> DataFrame:
     from s, unnest(range(0,n,384)) r(i) where n>512""",
 )
 def chunk_fixed(t: Tables) -> DataFrame:
-    out = ch.fixed_chunks(t.texts("documents", "doc_id", "text"), "text")
+    out = ch.fixed_chunks(t.documents.select("doc_id", "text"), "text")
     return out.select(
         "doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.md5("chunk").alias("chunk"),
         F.length("chunk").cast("bigint").alias("n_chars"),
@@ -70,7 +70,7 @@ def chunk_fixed(t: Tables) -> DataFrame:
     select doc_id, (i-1)::bigint as para_no, ps[i] as paragraph from p, unnest(range(1,len(ps)+1)) r(i)""",
 )
 def paragraph_split(t: Tables) -> DataFrame:
-    out = ch.paragraph_split(t.texts("documents", "doc_id", "text"), "text")
+    out = ch.paragraph_split(t.documents.select("doc_id", "text"), "text")
     return out.withColumn("para_no", F.col("para_no").cast("bigint"))
 
 
@@ -103,7 +103,7 @@ PACK = r"""
 
 @query("chunk_pack", PACK)
 def chunk_pack(t: Tables) -> DataFrame:
-    docs = t.texts("documents", "doc_id", "text", "source").select(
+    docs = t.documents.select("doc_id", "text", "source").select(
         "doc_id", "text", F.concat(F.col("source"), F.lit("/store/"), F.col("doc_id"), F.lit(".md")).alias("path")
     )
     out = ch.pack_chunks(docs, "text", "path")
@@ -118,13 +118,13 @@ def chunk_pack(t: Tables) -> DataFrame:
     where len(list_filter(regexp_split_to_array(text,'\s+'), lambda w: w<>'')) > 400""",
 )
 def oversize_chunks(t: Tables) -> DataFrame:
-    big = ch.oversize(t.texts("documents", "doc_id", "text"), "text", 400)
+    big = ch.oversize(t.documents.select("doc_id", "text"), "text", 400)
     return big.select("doc_id", F.size(tx.words(F.col("text"))).cast("bigint").alias("n_words"))
 
 
 @query("normalized_tokens", f"select doc_id, array_to_string({sql_tokens('text')},' ') as tokens from documents")
 def normalized_tokens(t: Tables) -> DataFrame:
-    return t.texts("documents", "doc_id", "text").select("doc_id", F.array_join(tokens(), " ").alias("tokens"))
+    return t.documents.select("doc_id", "text").select("doc_id", F.array_join(tokens(), " ").alias("tokens"))
 
 
 @query(
@@ -138,7 +138,7 @@ def oov_words(t: Tables) -> DataFrame:
     from tidemark.operators.cleaning import unknown_only
 
     words = t.benchmark.select(F.explode(tx.words(F.lower("text"))).alias("word"))
-    known = t.texts("documents", "doc_id", "text").select(F.explode(tx.words(F.lower("text"))).alias("word"))
+    known = t.documents.select("doc_id", "text").select(F.explode(tx.words(F.lower("text"))).alias("word"))
     return unknown_only(words.groupBy("word").agg(F.count("*").alias("n")), known, "word")
 
 
