@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.numbers import any_of, bin_by_edges
 from tidemark.session import ensure_checkpoint_dir
@@ -28,6 +28,15 @@ def materialize(df: DataFrame, label: str, partition_by: Sequence[str] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the cluster delete shuffle files of finished steps now.
+
+    Spark removes them when the driver's JVM collects the plans that made them, which a driver with little to do may put off for half
+    an hour. Worth a call between the large steps of an operator that has written its result with ``materialize``.
+    """
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def hash_bucket(digest: Column, digits: int = 4) -> Column:
     """Leading hex digits of a digest as a number; rises with the digest, so it may bucket an order by digest."""
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("int")
