@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemark.llm.components import connected_components
 from tidemark.llm.hashing import mix, shingle_set
 from tidemark.llm.ordering import restored, with_id
-from tidemark.operators.distributed import materialize
+from tidemark.operators.distributed import materialize, release
 
 PERCENT = 75
 BAND_SHARE = 8
@@ -40,6 +40,7 @@ SHORT = 16
 FREQUENT = 1 << 18
 RUN, RUN_COUNT = 1 << 22, 3
 PER_TASK = 1000
+SKETCH_BITS = 7
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -103,6 +104,28 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, place: np.ndarray) ->
     return rare, np.concatenate(keys)
 
 
+def _sketch(tokens: np.ndarray) -> bytes:
+    """Numbers of tokens by their leading bits; 255 stands for that many or more."""
+    return np.minimum(np.bincount((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS), 255).astype(np.uint8).tobytes()
+
+
+def _may_link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs that their sketches do not rule out: two sets share no more than the smaller number in every part."""
+    for frame in frames:
+        one, other = (np.frombuffer(b"".join(frame[c]), dtype=np.uint8).reshape(-1, 1 << SKETCH_BITS) for c in ("sketch", "sketch2"))
+        most = np.minimum(one, other).sum(axis=1, dtype=np.int64)
+        unknown = ((one == 255) & (other == 255)).any(axis=1)
+        sizes = frame["n"].to_numpy() + frame["n2"].to_numpy()
+        yield frame.loc[unknown | (100 * most >= PERCENT * (sizes - most)), ["a", "b"]]
+
+
+def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """An exact filter before any text is moved."""
+    left = sketches.select(F.col("key").alias("a"), "n", "sketch")
+    right = sketches.select(F.col("key").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
+    return pairs.join(left, "a").join(right, "b").mapInPandas(_may_link, "a long, b long")
+
+
 def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of one (left, part) follow each other: first the left text itself, then the texts to compare it with."""
     own = None
@@ -143,8 +166,8 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id_col``, ``n_shingles``, ``component_id``, and the hashes ``text_key`` and ``component`` for every row."""
     rows = docs.select(*with_id(F.col(id_col)), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("text"))
-    texts = rows.select("key", "text")
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(texts.select("text")))
+    texts, spark = rows.select("key", "text"), docs.sparkSession
+    frequent = spark.sparkContext.broadcast(frequent_tokens(texts.select("text")))
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens_of, seen = frequent.value, set()
@@ -154,10 +177,10 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 tokens = shingle_set(text)
                 rare, often = prefix_keys(tokens, *tokens_of) if len(tokens) and key not in seen else (tokens[:0], tokens[:0])
                 seen.add(key)
-                out.append((doc, no_id, key, len(tokens), rare.view(np.int64), often.view(np.int64)))
-            yield pd.DataFrame(out, columns=["doc_id", "no_id", "key", "n", "rare", "often"])
+                out.append((doc, no_id, key, len(tokens), rare.view(np.int64), often.view(np.int64), _sketch(tokens)))
+            yield pd.DataFrame(out, columns=["doc_id", "no_id", "key", "n", "rare", "often", "sketch"])
 
-    schema = "doc_id long, no_id boolean, key long, n int, rare array<long>, often array<long>"
+    schema = "doc_id long, no_id boolean, key long, n int, rare array<long>, often array<long>, sketch binary"
     indexed = materialize(restored(rows.mapInPandas(index, schema)), "join-index")
     members = F.xxhash64("key")
     facts = {
@@ -172,9 +195,12 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucket = F.xxhash64("high", "low", "count").alias("bucket")
     live = met.select(bucket, "key", "n", F.col("first.key").alias("first_key"), F.col("first.n").alias("first_n"))
     live = materialize(live.dropDuplicates(["bucket", "key"]), "join-live")
+    release(spark)
+    sketches = materialize(indexed.select("key", "n", "sketch").dropDuplicates(["key"]), "join-sketches")
     pairs = live.where((F.col("key") != F.col("first_key")) & _sizes_fit("n", "first_n"))
     pairs = materialize(pairs.select(F.col("first_key").alias("a"), F.col("key").alias("b")).distinct(), "join-pairs")
-    links = materialize(verified(pairs, texts), "join-links")
+    links = materialize(verified(materialize(possible(pairs, sketches), "join-possible"), texts), "join-links")
+    release(spark)
     tried = pairs
     live, at_once = live.select("bucket", "key", "n"), 64
     while True:
@@ -194,7 +220,8 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met = open_rows.join(chosen, ["bucket"]).where((F.col("component") != F.col("component2")) & _sizes_fit("n", "n2"))
         new = met.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
         new = materialize(new.join(tried, ["a", "b"], "left_anti"), "join-pairs")
-        links = materialize(links.unionByName(verified(new, texts)), "join-links")
+        links = materialize(links.unionByName(verified(materialize(possible(new, sketches), "join-possible"), texts)), "join-links")
+        release(spark)
         tried = tried.unionByName(new)
         done = chosen.select("bucket", F.col("key2").alias("key"))
         live = materialize(open_rows.select("bucket", "key", "n").join(done, ["bucket", "key"], "left_anti"), "join-live")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.hashing import mix
-from tidemark.operators.distributed import materialize
+from tidemark.operators.distributed import materialize, release
 
 MIN_LENGTH = 400
 GRAM = 32
@@ -290,11 +290,14 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     per_gram = contexts.groupBy("gram").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("different")).where("total > 1")
     groups = materialize(per_gram, "suffix-grams")
     alive = materialize(contexts.join(groups, "gram"), "suffix-contexts")
+    release(docs.sparkSession)
     wanted = alive.where("different > 1").groupBy(F.col("one.key").alias("key")).agg(
         F.collect_list(F.struct("gram", "context", F.col("one.place").alias("place"))).alias("wanted")
     )
     cut = texts.join(wanted, "key").select("text", "wanted").mapInPandas(_cut_contexts, "gram long, context long, before binary, after binary")
-    found = reaches(materialize(cut, "suffix-cuts"), groups.where("different > 1"))
+    cut = materialize(cut, "suffix-cuts")
+    release(docs.sparkSession)
+    found = reaches(cut, groups.where("different > 1"))
     whole = alive.where("n > 1").select("gram", "context", F.lit(REACH).cast("long").alias("to_left"), F.lit(MIN_LENGTH).cast("long").alias("to_right"))
     reach = found.unionByName(whole).groupBy("gram", "context").agg(F.max("to_left").alias("to_left"), F.max("to_right").alias("to_right"))
     spans = rows.join(reach, ["gram", "context"]).select(
@@ -340,6 +343,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     spans = materialize(repeated_spans(docs, text_col), "suffix-spans")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), text.alias("text"), F.unhex(F.md5(text)).alias("key"))
+    release(docs.sparkSession)
     copies = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "suffix-copies")
     known = spans.join(copies, "key", "full_outer").select("key", F.coalesce("copies", F.lit(1)).alias("copies"), "spans")
     placed = rows.join(known, "key", "left")
