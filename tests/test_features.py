@@ -93,3 +93,17 @@ def test_bad_predicate_gives_no_rows(spark):
     assert cl.predicate_search(df, "a = 1", ["a"]).count() == 1
     assert cl.predicate_search(df, "b = 2", ["a"]).count() == 0
     assert cl.predicate_search(df, "a ==== (", ["a"]).count() == 0
+
+
+@pytest.mark.parametrize(
+    "predicate,rows",
+    [
+        ("a = 1", 1), ("a in (1, 2) and s like 'x%'", 1), ("a between 1 and 5 or s is null", 2), ("not (a = 1)", 1), ("s = 7", 1), ("a = '2'", 1),
+        ("`a` >= 1.5", 1), ("s <> 'x1' and a > 0", 1),
+        ("reflect('java.lang.System','getProperty','user.home') = '/root'", 0), ("a/0 > 1", 0), ("a = 'abc'", 0), ("cast(s as int) = 1", 0),
+        ("b = 2", 0), ("a = s", 0), ("a * 99999999999 > 1", 0), ("a = (select 1)", 0), ("a(1) = 1", 0), ("true", 2), ("", 0), ("a = 1; drop", 0),
+    ],
+)
+def test_only_listed_predicates_run(spark, predicate, rows):
+    df = spark.createDataFrame([(1, "x1", 0), (2, "7", 0)], "a int, s string, b int")
+    assert cl.predicate_search(df, predicate, ["a", "s"]).count() == rows

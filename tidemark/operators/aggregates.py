@@ -22,7 +22,10 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], approximate: bool = Fals
 
 
 def describe(df: DataFrame, key: str, value: str) -> DataFrame:
-    """count, mean, std, min, quartiles and max per key; quartiles are exact and interpolated."""
+    """count, mean, std, min, quartiles and max per key; quartiles are exact and interpolated.
+
+    Keys of more than ``HOT_ROWS`` distinct values are cut into ranges before they are sorted; the result is the same.
+    """
     basic = df.groupBy(key).agg(
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),
@@ -122,7 +125,10 @@ def entity_rate_spread(df: DataFrame, entity: str, label: str, min_rows: int = 1
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int, out: str = "decile") -> DataFrame:
-    """Equal-frequency bins by value: right-closed, ties stay together, repeated edges merge."""
+    """Equal-frequency bins by value: right-closed, ties stay together, repeated edges merge.
+
+    More than ``HOT_ROWS`` distinct values are cut into ranges before they are sorted; the edges are the same.
+    """
     edges = exact_quantiles(df, [], value, [i / bins for i in range(bins)])
     inner = edges.select(
         F.filter(F.array_distinct(F.slice("q", 2, bins - 1)), lambda e: e > F.col("q")[0]).alias("e")
