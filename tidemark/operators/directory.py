@@ -218,19 +218,17 @@ def extract_codes(questions: DataFrame, qid: str, text: str, codes: DataFrame) -
 def longest_alias(texts: DataFrame, key: str, text: str, aliases: DataFrame, min_len: int = 1) -> DataFrame:
     """Longest alias contained anywhere in each text, ties alphabetical; texts without one are left out.
 
-    Every text position offers the characters that follow it. They meet the aliases on equality of the first letters
-    (as many as the shortest alias has) and are then compared in full, so containment needs no nested loop and the
-    alias table may have any size.
+    For every length that occurs among the aliases a text offers its distinct pieces of that length. They meet the aliases on
+    equality, so containment needs no nested loop, no alias draws more than its own matches, and the alias table may have any size.
     """
     names = aliases.select(F.lower(F.col(aliases.columns[0])).alias("alias")).where(F.length("alias") >= min_len).distinct()
-    bounds = names.agg(
-        F.struct(F.min(F.length("alias")).alias("lo"), F.max(F.length("alias")).alias("hi")).alias("b")
-    ).scalar()
-    window = F.concat(F.lit("(?s)(?=(.{"), bounds["lo"].cast("string"), F.lit(","), bounds["hi"].cast("string"), F.lit("}))"))
-    ahead = texts.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), window, 1)).alias("piece"))
-    left = ahead.withColumn("anchor", F.substring("piece", F.lit(1), bounds["lo"]))
-    right = names.withColumn("anchor", F.substring("alias", F.lit(1), bounds["lo"]))
-    hits = left.join(right, "anchor").where(F.startswith("piece", F.col("alias")))
+    lengths = names.agg(F.collect_set(F.length("alias")).alias("l")).scalar()
+    pieces_of = lambda n: F.regexp_extract_all(
+        F.lower(F.col(text)), F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))")), F.lit(1)
+    )
+    offered = texts.withColumn("__lengths", lengths)
+    pieces = F.array_distinct(F.flatten(F.transform("__lengths", pieces_of)))
+    hits = offered.select(key, F.explode(pieces).alias("alias")).join(names, "alias")
     best = F.min_by("alias", F.struct((-F.length("alias")).alias("l"), F.col("alias"))).alias("alias")
     return hits.groupBy(key).agg(best)
 

@@ -98,9 +98,13 @@ def fold_of(row_id: Column, folds: int) -> Column:
 
 
 def label_codes(df: DataFrame, col: str) -> DataFrame:
-    """Sorted distinct values numbered from 0. The table of classes is small next to the data it codes."""
+    """Sorted distinct values numbered from 0.
+
+    The classes are written once in ranges of the whole string, so values with one common beginning still spread over many tasks.
+    """
     classes = df.select(F.coalesce(F.col(col).cast("string"), F.lit("nan")).alias("cls")).distinct()
-    return ordinal(classes, [], [F.col("cls")], F.ascii("cls"), out="code").withColumn("code", F.col("code") - 1)
+    ranged = materialize(classes.repartitionByRange("cls").withColumn("__range", F.spark_partition_id()), "classes")
+    return ordinal(ranged, [], [F.col("cls")], F.col("__range"), out="code").select("cls", (F.col("code") - 1).alias("code"))
 
 
 def label_encode(df: DataFrame, col: str, codes: DataFrame, out: str) -> DataFrame:
