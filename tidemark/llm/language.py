@@ -40,9 +40,9 @@ def learn_dictionaries(
     rows = rows.where("lang is not null and text rlike '\\\\p{L}'").withColumn("hash", F.xxhash64("text"))
     start = F.pmod(F.col("hash"), F.greatest(F.lit(1), F.char_length("text") - share)).cast("int") + 1
     passage = F.substring("text", start, F.lit(share))
-    picked = top_per_key(rows, ["lang"], [F.col("hash"), F.col("text")], sample_docs)
+    offered = rows.select("lang", "hash", passage.alias("passage"))
     texts: dict[str, list[tuple[int, str]]] = {}
-    for r in picked.select("lang", "rank", passage.alias("passage")).collect():
+    for r in top_per_key(offered, ["lang"], [F.col("hash"), F.col("passage")], sample_docs).collect():
         texts.setdefault(r["lang"], []).append((r["rank"], r["passage"]))
     return {
         lang: " ".join(letters_only(p) for _, p in sorted(texts[lang])).encode()[:dict_bytes] for lang in sorted(texts)
