@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import numbers as num
 from tidemark.operators import aggregates as ag, grading as gr
-from tidemark.plans.search import class_centres
+from tidemark.operators.distributed import materialize
 from tidemark.plans.registry import Tables, query
+from tidemark.plans.search import class_centres
 
 
 def scored_docs(t: Tables) -> DataFrame:
@@ -59,7 +60,8 @@ def predicted(t: Tables) -> DataFrame:
     probs = num.softmax(F.transform("c", lambda c: F.round(dot(c["qv"]) * SHARPNESS, 9)))
     scored = unit.select("vec_id", "label", "c", probs.alias("probs"))
     best = F.get(F.col("c"), num.argmax_index(F.col("probs")))["label"]
-    return scored.select("vec_id", "label", best.alias("pred"), F.array_max("probs").alias("confidence"))
+    named = scored.select("vec_id", "label", best.alias("pred"), F.array_max("probs").alias("confidence"))
+    return materialize(named, "class-scores")  # read several times by reports; also keeps the scores from being inlined
 
 
 PRED = """
@@ -97,6 +99,18 @@ def classification_report(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "macro_f1",
+    PRED
+    + """, k as (select distinct label as cls from p union select pred from p),
+      c as (select cls, (select count(*) from p where label=cls) as support, (select count(*) from p where pred=cls) as predicted,
+        (select count(*) from p where pred=cls and label=cls) as hit from k)
+    select round(avg(case when hit=0 then 0 else 2.0::double*hit/(predicted+support) end),6) as macro_f1 from c""",
+)
+def macro_f1(t: Tables) -> DataFrame:
+    return gr.macro_f1(predicted(t), "label", "pred").select(F.round("macro_f1", 6).alias("macro_f1"))
+
+
 def _confusion_sql() -> str:
     cols = ", ".join(f"count_if(pred={i})::bigint as p_{i}" for i in range(10))
     return PRED + f" select label::bigint as truth, {cols} from p group by 1"
