@@ -35,6 +35,13 @@ def components(texts: list[str | None]) -> list[int]:
     return [top(i) if sets[i] else -1 for i in range(len(texts))]
 
 
+def link_counts(texts: list[str | None]) -> list[int]:
+    """Number of other rows whose texts link to a row's."""
+    sets = [shingles(t) for t in texts]
+    linked = lambda a, b: bool(a & b) and 100 * len(a & b) >= 75 * len(a | b)
+    return [sum(linked(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+
+
 def repeats_removed(texts: list[str | None]) -> list[tuple[int, int, int, bytes]]:
     """(bytes, removed, spans, kept) of every text."""
     raws = [(t or "").encode() for t in texts]

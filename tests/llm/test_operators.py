@@ -126,6 +126,23 @@ def test_join_with_every_shared_shingle_frequent(spark, monkeypatch):
     assert got == dict(enumerate(brute.components(texts)))
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_links_inside_a_component_are_counted(spark, monkeypatch, block):
+    rng = random.Random(3)
+    base = prose(rng, 150).split()
+    texts = [None, "", "alone here"]
+    for i in range(40):
+        words = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(50)}"
+        texts += [" ".join(words[: rng.randrange(110, 151)])] * (1 + i % 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK_TEXTS", block)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = jaccard_join.join_links(docs).collect()
+    want = brute.link_counts(texts)
+    assert {r["doc_id"]: r["n_links"] for r in rows} == dict(enumerate(want)) and len(set(want)) > 10
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}

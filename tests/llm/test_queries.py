@@ -141,6 +141,14 @@ def test_jaccard_components(spark, odd_folder, which):
     assert counted(QUERIES["op8_jaccard_join"](spark, folder).collect()) == counted(want)
 
 
+@pytest.mark.parametrize("which", ["small", "odd"])
+def test_jaccard_links(spark, odd_folder, which):
+    folder = SMALL if which == "small" else odd_folder
+    docs = table(spark, folder, "documents").collect()
+    want = [(d["doc_id"], n) for d, n in zip(docs, brute.link_counts([d["text"] for d in docs]), strict=True)]
+    assert counted((r["doc_id"], r["n_links"]) for r in QUERIES["op8_jaccard_links"](spark, folder).collect()) == counted(want)
+
+
 def test_decontamination_on_odd_rows(spark, odd_folder):
     got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op9_decontaminate"](spark, odd_folder).collect()}
     assert got == {(14, 0), (14, 4), (15, 0), (15, 4), (4, 3)}

@@ -16,6 +16,10 @@ Buckets with the same members are one. They are never expanded into all pairs: e
 components, and only buckets that still hold several components go on: members outside the largest component are compared with
 the others, some at a time, until every bucket is done. So no link between two components is lost, whatever the bucket's size.
 
+``join_links`` also counts the links of every row. All of them lie inside a component, so the different texts of each component are
+compared with each other, every pair once, in blocks of bounded numbers and bytes of texts. Only counts leave a block, and copies are
+weights: rows are never paired.
+
 Defined results: equal texts are one node and share their component; texts without words have no shingles and stand alone; ties
 do not matter. The component is named by its smallest id; rows without an id count only for the others. Shingles and texts are
 told apart by 64-bit hashes. Rows are never dropped and other columns not read.
@@ -40,6 +44,7 @@ SHORT = 16
 FREQUENT = 1 << 18
 RUN, RUN_COUNT = 1 << 22, 3
 PER_TASK = 1000
+BLOCK_TEXTS, BLOCK_BYTES = 1000, 1 << 24
 SKETCH_BITS = 7
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -234,6 +239,73 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), own, F.col("key").alias("text_key"), "component")
 
 
+def _shared(own: np.ndarray, flat: np.ndarray, starts: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Numbers of tokens that one set shares with each of several sets, laid end to end."""
+    mark[own] = True
+    out = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+    mark[own] = False
+    return out
+
+
+def _count_block(keys: list[int], copies: list[int], chunks: list[int], tokens: list[np.ndarray]) -> pd.DataFrame:
+    """For every text of a block the rows whose texts link to it. In a block of two chunks only texts of different chunks are compared."""
+    sizes, weights, chunk = np.array([len(t) for t in tokens]), np.array(copies, dtype=np.int64), np.array(chunks)
+    names, flat = np.unique(np.concatenate(tokens), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    mark, out = np.zeros(len(names), dtype=bool), np.zeros(len(keys), dtype=np.int64)
+    one = chunk == chunk.min()
+    two = one if one.all() else ~one
+    right = np.flatnonzero(two)
+    right_flat = flat[np.repeat(two, sizes)]
+    right_starts = np.cumsum(sizes[right]) - sizes[right]
+    for i in np.flatnonzero(one):
+        shared = _shared(flat[starts[i] : starts[i] + sizes[i]], right_flat, right_starts, mark)
+        linked = (100 * shared >= PERCENT * (sizes[i] + sizes[right] - shared)) & (right != i)
+        out[i] += weights[right[linked]].sum()
+        if not one.all():
+            out[right[linked]] += weights[i]
+    return pd.DataFrame({"key": np.array(keys, dtype=np.int64), "linked": out})
+
+
+def _count_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of one block (component, low, high) follow each other."""
+    block, held = None, ([], [], [], [])
+    for frame in frames:
+        done = []
+        for component, low, high, key, copies, chunk, text in zip(*(frame[c] for c in ("component", "low", "high", "key", "copies", "chunk", "text")), strict=True):
+            if (component, low, high) != block:
+                if held[0]:
+                    done.append(_count_block(*held))
+                block, held = (component, low, high), ([], [], [], [])
+            for column, value in zip(held, (key, copies, chunk, shingle_set(text)), strict=True):
+                column.append(value)
+        if done:
+            yield pd.concat(done)
+    if held[0]:
+        yield _count_block(*held)
+
+
+def join_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``join_components`` and ``n_links``: the number of other rows whose texts link to the row's, copies among them."""
+    found = materialize(join_components(docs, id_col, text_col), "join-found")
+    copies = materialize(found.where("n_shingles > 0").groupBy(F.col("text_key").alias("key"), "component").agg(F.count(F.lit(1)).alias("copies")), "join-copies")
+    several = copies.groupBy("component").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("component")
+    members = copies.join(several, "component")
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("key"), "text")
+    known = texts.join(members.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    known = materialize(known.join(members, "key"), "join-members")
+    release(docs.sparkSession)
+    needed = F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum(F.octet_length("text")) / BLOCK_BYTES)
+    chunks = known.groupBy("component").agg(F.ceil(needed).cast("int").alias("chunks"))
+    dealt = known.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("component", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "key", "copies", "chunk", "text")
+    blocks = dealt.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
+    linked = blocks.mapInPandas(_count_links, "key long, linked long").groupBy("key").agg(F.sum("linked").alias("linked"))
+    per_text = copies.join(linked, "key", "left").select(F.col("key").alias("text_key"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return found.join(materialize(per_text, "join-counts"), "text_key", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+
+
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` with one of each component: the one with its smallest id. Texts without words all stay."""
     found = join_components(docs, id_col, text_col).where("n_shingles > 0")

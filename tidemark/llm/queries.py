@@ -149,6 +149,12 @@ def jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, folder, "documents")).drop("text_key", "component")
 
 
+@register("op8_jaccard_links")
+def jaccard_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Component and number of links of every document."""
+    return jaccard_join.join_links(table(spark, folder, "documents")).drop("text_key", "component")
+
+
 @register("op9_decontaminate", decontaminate.SQL)
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair of a document and a benchmark item of which it holds three quarters of the shingles or more."""
