@@ -72,6 +72,23 @@ def test_edited_copies_by_both_ways(spark, monkeypatch, seed):
         assert sorted((r["n_bytes"], r["n_removed"], len(r["starts"]), bytes(r["kept"])) for r in rows) == want
 
 
+def test_copies_of_a_text_cut_each_context_once(spark, monkeypatch):
+    rng = random.Random(6)
+    core = prose(rng, 400)
+    texts = [core] * 60 + [core[:-9] + f"end {i}" for i in range(5)]
+    seen, reaches = [], suffix_dedup.reaches
+
+    def watched(contexts, groups):
+        seen.extend((r["gram"], r["context"]) for r in contexts.select("gram", "context").collect())
+        return reaches(contexts, groups)
+
+    monkeypatch.setattr(suffix_dedup, "reaches", watched)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    rows = suffix_dedup.remove_repeats(df).collect()
+    assert sorted((r["n_bytes"], r["n_removed"], len(r["starts"]), bytes(r["kept"])) for r in rows) == sorted(brute.repeats_removed(texts))
+    assert seen and len(seen) == len(set(seen))
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_interval_expansion(seed):
     rng = random.Random(seed)

@@ -6,7 +6,8 @@ decide, so equal strings have equal anchors at the same offset. Around an anchor
 window to the left matter (its context).
 
 1. Anchors are read from every text. Contexts are hashed; a context that occurs twice is repeated as a whole, and a gram hash that
-   occurs once repeats nothing. Only gram hashes with different contexts are left, one representative for each context.
+   occurs once repeats nothing. Only gram hashes with different contexts are left, one representative for each context, cut from one
+   copy of its text.
 2. For these, threshold-bounded interval expansion: the suffixes at the anchors of one gram are sorted, neighbours get the length
    of their common prefix, and the interval is extended backwards, breadth first, by the symbol before each suffix
    (the symbol of the Burrows-Wheeler transform). An interval splits into one for each symbol; intervals of one suffix end. Wherever the
@@ -294,7 +295,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     wanted = alive.where("different > 1").groupBy(F.col("one.key").alias("key")).agg(
         F.collect_list(F.struct("gram", "context", F.col("one.place").alias("place"))).alias("wanted")
     )
-    cut = texts.join(wanted, "key").select("text", "wanted").mapInPandas(_cut_contexts, "gram long, context long, before binary, after binary")
+    cut = texts.dropDuplicates(["key"]).join(wanted, "key").select("text", "wanted").mapInPandas(_cut_contexts, "gram long, context long, before binary, after binary")
     cut = materialize(cut, "suffix-cuts")
     release(docs.sparkSession)
     found = reaches(cut, groups.where("different > 1"))
