@@ -1,8 +1,8 @@
 """License scans: sentences are recognised one by one, and ordered rules name a licence from runs of recognised sentences.
 
-A text is cut into sentences at line ends and after ``.``, ``!``, ``?`` or ``;`` before white space. A sentence wrapped over up to
-``WRAP`` lines is recognised too: runs of neighbouring pieces are tried as one. Normalisation keeps lower-case letters, digits and inner dots, hyphens and
-plus signs. The identifiers of recognised sentences, in text order, are matched against the rules in their order; a rule asks
+A text is cut into sentences at line ends and after ``.``, ``!``, ``?`` or ``;`` before white space. A known sentence may run over any
+number of pieces, wrapped at any width and with blank lines between; it starts and ends where a piece does. Normalisation keeps
+lower-case letters, digits and inner dots, hyphens and plus signs. The identifiers of recognised sentences, in text order, are matched against the rules in their order; a rule asks
 for its identifiers next to each other. All of it is done by column functions inside the row: no shuffle, no Python.
 
 Defined results: a null or empty text, or one without a known sentence, has licence ``none``; known sentences that no rule covers give
@@ -11,8 +11,11 @@ Defined results: a null or empty text, or one without a known sentence, has lice
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+# The SQL tries runs of so many pieces.
 WRAP = 3
 
 # Known licence sentences, normalised, and their identifiers.
@@ -76,30 +79,44 @@ KEYS = "licen|permission|redistribut|copyright|warrant|public domain|any later v
 CUT = r"\n|[.!?;][ \t\r]+"
 
 
-def normalised(piece: Column) -> Column:
-    """Lower case; other characters than letters, digits, dot, plus and hyphen become blanks; no dots at the end of words."""
-    plain = F.regexp_replace(F.lower(piece), r"[^a-z0-9.+-]+", " ")
-    return F.trim(F.regexp_replace(F.concat(plain, F.lit(" ")), r"[.]+ ", " "))
+# How the operator normalises a text, step by step; what is left are words with one blank, or one line end between pieces.
+STEPS = [(CUT, "\n"), (r"[^a-z0-9.+\n-]+", " "), (r"[.]+(?=[ \n]|$)", " "), (r"[ ]*\n[ \n]*", "\n"), (r"[ ]+", " "), (r"^[ \n]+|[ \n]+$", "")]
 
 
-def sentence_ids(text: Column) -> Column:
-    """Array of (piece number, identifier) structs of the recognised sentences of a text, in text order."""
-    known = F.create_map(*[F.lit(x) for item in SENTENCES.items() for x in item])
-    body = F.coalesce(text.cast("string"), F.lit(""))
-    pieces = F.split(F.when(F.lower(body).rlike(KEYS), body).otherwise(F.lit("")), CUT)
+def plain(text: str) -> str:
+    """A known sentence as ``STEPS`` leave it, on one line."""
+    text = text.lower()
+    for pattern, by in STEPS:
+        text = re.sub(pattern, by, text)
+    return text.replace("\n", " ")
+
+
+def normalised(text: Column) -> Column:
+    out = F.lower(text)
+    for pattern, by in STEPS:
+        out = F.regexp_replace(out, pattern, by)
+    return out
 
-    def at(i: Column, all_pieces: Column) -> Column:
-        runs = [F.try_element_at(known, normalised(F.array_join(F.slice(all_pieces, i, n), " "))) for n in range(1, WRAP + 1)]
-        return F.struct(i.alias("at"), F.coalesce(*runs).alias("id"))
 
-    found = F.transform(F.array(pieces), lambda p: F.filter(F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: at(i, p)), lambda s: s["id"].isNotNull()))
-    return F.get(found, F.lit(0))
+def known_sentences() -> dict[str, str]:
+    """Normalised sentences, short ones first, and their identifiers."""
+    return dict(sorted(((plain(s), i) for s, i in SENTENCES.items()), key=lambda x: (len(x[0].split()), x)))
+
+
+def sentence_ids(text: Column) -> Column:
+    """Array of the identifiers of the recognised sentences of a text, in text order. Sentences may overlap; the shortest at a place counts."""
+    table = known_sentences()
+    known = F.create_map(*[F.lit(x) for item in table.items() for x in item])
+    either = "|".join(r"[ \n]".join(map(re.escape, s.split())) for s in table)
+    body = F.coalesce(text.cast("string"), F.lit(""))
+    lines = F.concat(F.lit("\n"), normalised(F.when(F.lower(body).rlike(KEYS), body).otherwise(F.lit(""))))
+    found = F.regexp_extract_all(lines, F.lit(rf"\n(?=({either})(?:\n|$))"), F.lit(1))
+    return F.transform(found, lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licence of every text: the first rule that matches, all licences that match, and the identifiers found."""
-    ids = F.transform(sentence_ids(F.col(text_col)), lambda s: s["id"])
-    rows = docs.select(F.col(id_col), ids.alias("ids")).withColumn("line", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")))
+    rows = docs.select(F.col(id_col), sentence_ids(F.col(text_col)).alias("ids")).withColumn("line", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")))
 
     def matches(sequence: list[str]) -> Column:
         return F.col("line").contains("," + ",".join(sequence) + ",")
