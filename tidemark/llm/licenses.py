@@ -51,6 +51,23 @@ SENTENCES = {
     "all rights reserved": "reserved",
 }
 
+# Whole sentences of the standard texts, of which the table above holds a fragment or another wording.
+WHOLE = {
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:': "mit-grant",
+    'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.': "as-is",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl3-notice",
+    "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "lgpl-grant",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.": "bsd-source",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.": "bsd-binary",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd-names",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc",
+}
+
+# Rules over identifiers that only whole sentences have; they are tested first.
+WHOLE_RULES = [("GPL-3.0-or-later", ["gpl3-notice"]), ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"])]
+
 # Rules in the order of testing; the licence, and the identifiers that must stand next to each other.
 RULES = [
     ("GPL-3.0-or-later", ["gpl-grant", "gpl3-later"]),
@@ -100,7 +117,7 @@ def normalised(text: Column) -> Column:
 
 def known_sentences() -> dict[str, str]:
     """Normalised sentences, short ones first, and their identifiers."""
-    return dict(sorted(((plain(s), i) for s, i in SENTENCES.items()), key=lambda x: (len(x[0].split()), x)))
+    return dict(sorted(((plain(s), i) for s, i in (SENTENCES | WHOLE).items()), key=lambda x: (len(x[0].split()), x)))
 
 
 def sentence_ids(text: Column) -> Column:
@@ -121,7 +138,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def matches(sequence: list[str]) -> Column:
         return F.col("line").contains("," + ",".join(sequence) + ",")
 
-    hits = F.array_compact(F.array(*[F.when(matches(sequence), F.lit(name)) for name, sequence in RULES]))
+    hits = F.array_compact(F.array(*[F.when(matches(sequence), F.lit(name)) for name, sequence in WHOLE_RULES + RULES]))
     none = F.when(F.size("ids") == 0, F.lit("none")).otherwise(F.lit("unknown"))
     rows = rows.withColumn("hits", F.array_distinct(hits))
     return rows.select(
