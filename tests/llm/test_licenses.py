@@ -79,3 +79,9 @@ STANDARD = [
 def test_every_rule_names_its_standard_text(spark):
     assert {name for name, _ in licenses.WHOLE_RULES + licenses.RULES} == {name for name, _ in STANDARD}
     assert [x[0] for x in scanned(spark, *[t for _, t in STANDARD])] == [name for name, _ in STANDARD]
+
+
+def test_texts_are_not_lost_before_cutting(spark):
+    texts = ["All rights\nreserved.", "All rights\treserved.", "This is free and unencumbered software released into the public\ndomain.", "All  rights  reserved."]
+    assert [x[0] for x in scanned(spark, *texts)] == ["Proprietary", "Proprietary", "Unlicense", "Proprietary"]
+    assert all(re.search(licenses.WORDS, s) for s in licenses.known_sentences())

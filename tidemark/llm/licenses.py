@@ -90,7 +90,10 @@ RULES = [
     ("Proprietary", ["reserved"]),
 ]
 
-# Every known sentence holds one of these words, so a text without them needs no cutting.
+# Every known sentence holds one of these words, so a text without them needs no cutting. No line end can part them.
+WORDS = "licen|permission|redistribut|copyright|warrant|domain|reserved"
+
+# The SQL asks for these.
 KEYS = "licen|permission|redistribut|copyright|warrant|public domain|any later version|rights reserved"
 
 CUT = r"\n|[.!?;][ \t\r]+"
@@ -126,7 +129,7 @@ def sentence_ids(text: Column) -> Column:
     known = F.create_map(*[F.lit(x) for item in table.items() for x in item])
     either = "|".join(r"[ \n]".join(map(re.escape, s.split())) for s in table)
     body = F.coalesce(text.cast("string"), F.lit(""))
-    lines = F.concat(F.lit("\n"), normalised(F.when(F.lower(body).rlike(KEYS), body).otherwise(F.lit(""))))
+    lines = F.concat(F.lit("\n"), normalised(F.when(F.lower(body).rlike(WORDS), body).otherwise(F.lit(""))))
     found = F.regexp_extract_all(lines, F.lit(rf"\n(?=({either})(?:\n|$))"), F.lit(1))
     return F.transform(found, lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
 
