@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 from tidemark.llm import licenses
 
 
@@ -85,3 +87,9 @@ def test_texts_are_not_lost_before_cutting(spark):
     texts = ["All rights\nreserved.", "All rights\treserved.", "This is free and unencumbered software released into the public\ndomain.", "All  rights  reserved."]
     assert [x[0] for x in scanned(spark, *texts)] == ["Proprietary", "Proprietary", "Unlicense", "Proprietary"]
     assert all(re.search(licenses.WORDS, s) for s in licenses.known_sentences())
+
+
+@pytest.mark.parametrize("mark", ["-- ", "--", "- ", "+ ", "# ", "// ", " * ", "> ", "... "])
+def test_comment_and_list_marks(spark, mark):
+    text = f"{mark}Licensed under the MIT License.\n{mark}This Source Code Form is subject to the terms of the Mozilla Public\n{mark}License, v. 2.0."
+    assert scanned(spark, text) == [("MPL-2.0", "mit,mpl2")]

@@ -100,7 +100,7 @@ CUT = r"\n|[.!?;][ \t\r]+"
 
 
 # How the operator normalises a text, step by step; what is left are words with one blank, or one line end between pieces.
-STEPS = [(CUT, "\n"), (r"[^a-z0-9.+\n-]+", " "), (r"[.]+(?=[ \n]|$)", " "), (r"[ ]*\n[ \n]*", "\n"), (r"[ ]+", " "), (r"^[ \n]+|[ \n]+$", "")]
+STEPS = [(CUT, "\n"), (r"[^a-z0-9.+\n-]+", " "), (r"(?<![a-z0-9])[.+-]+|[.+-]+(?![a-z0-9])", " "), (r"[ ]*\n[ \n]*", "\n"), (r"[ ]+", " "), (r"^[ \n]+|[ \n]+$", "")]
 
 
 def plain(text: str) -> str:
