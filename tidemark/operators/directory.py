@@ -152,7 +152,7 @@ def phrase(cls: Column, lang: Column, company: str = "company", phrases: Mapping
 
 
 # What a tampered question stands behind (everything after the dash, however long; the last marker).
-AFTER_DASH = r"[—–-]\s*(.{5,})$"
+AFTER_DASH = r"(?s)[—–-]\s*(.{5,})$"
 AFTER_MARKER = r"(?i)====new user====|\]\s*"
 
 
