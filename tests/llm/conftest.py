@@ -31,6 +31,18 @@ def odd_texts() -> list[tuple]:
     return rows, item
 
 
+def odd_vectors() -> list[tuple]:
+    """Null, empty, broken, huge, flat, repeated and short vectors, null ids and labels; near groups so that negatives exist."""
+    rng = random.Random(11)
+    near = lambda base, w: [w * b + (1 - w) * rng.gauss(0, 0.2) for b in base]
+    base = [rng.gauss(0, 0.3) for _ in range(8)]
+    rows = [(i * 20, near(base, rng.choice([0.5, 0.8, 0.95])), i % 3) for i in range(60)]
+    rows += [rows[5], rows[5], rows[10], (None, base, 0), (None, base, 1), (41, base, None), (42, None, 1), (43, [], 1)]
+    rows += [(44, [float("nan")] * 8, 1), (45, [float("inf")] + base[1:], 1), (46, [None] + base[1:], 2), (47, [1e30] * 8, 0)]
+    rows += [(100, base[:3], 0), (101, base[:3], 0), (102, [0.9 * b for b in base[:3]], 0), (103, [0.8 * b for b in base[:3]], 2), (2**50, [0.0] * 8, 1)]
+    return rows
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
     rows, _ = odd_texts()
@@ -50,12 +62,15 @@ def odd_folder(spark, odd, tmp_path_factory):
     turns = [(1, 0, "user", "Hello there"), (1, 1, "assistant", None), (1, 2, "user", "Hello there"), (1, 3, "user", "A\n\nB"), (1, 4, None, ""), (2, 5, "user", "x")]
     turns += [(None, 1, "user", "lost"), (3, None, "user", "lost"), (2, 5, "user", "x")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    vectors = spark.createDataFrame(odd_vectors(), "vec_id long, embedding array<double>, label int")
+    clashes = ["id", "x", "n", "weight", "length", "component", "anchor", "score", "code", "k1", "z"]
+    vectors.withColumns({c: F.lit("clash") for c in clashes}).repartition(3).write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
 @pytest.fixture(scope="session")
 def empty_folder(spark, odd_folder, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "benchmark", "labels", "conversations"):
+    for name in ("documents", "benchmark", "labels", "conversations", "embeddings"):
         spark.read.parquet(f"{odd_folder}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return folder

@@ -9,7 +9,21 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, decontaminate, fingerprints, jaccard_join, language, licenses, quality, quotes, sharding, suffix_dedup
+from tidemark.llm import (
+    bpe,
+    decontaminate,
+    fingerprints,
+    hard_negatives,
+    jaccard_join,
+    language,
+    licenses,
+    quality,
+    quotes,
+    sharding,
+    suffix_dedup,
+    token_store,
+    whitening,
+)
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -167,6 +181,30 @@ def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_neighbours(table(spark, folder, "documents"))
 
 
+@register("op11_whitening")
+def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Sixteen whitened components of every embedding; the fit takes each distinct integer vector once."""
+    return whitening.whiten(table(spark, folder, "embeddings"), "vec_id", "embedding")
+
+
+@register("op12_hard_negatives", hard_negatives.SQL)
+def mined_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten hard negatives for each of five positives of every hundredth embedding; every seventh label is moved by one."""
+    vectors = table(spark, folder, "embeddings")
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(vectors, "vec_id", "embedding", moved, lambda vec_id: vec_id % 100 == 0)
+
+
+@register("op13_token_store")
+def stored_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Place, number and checksum of the ids of every document, read back from the blocks that hold them."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    store = token_store.write_store(table(spark, folder, "documents"), "doc_id", "text", tokenizer, end_id=2)
+    return token_store.read_back(store)
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
