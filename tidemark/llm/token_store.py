@@ -2,10 +2,10 @@
 
 1. The dictionary is trained on the serialised ids of a sample: about ``SAMPLE`` distinct texts of at most ``SAMPLE_BYTES`` bytes, chosen by text
    hash. Only this sample reaches the driver. Too few samples to train on become a raw-content dictionary.
-2. Every text is encoded by the tokenizer, the end id is appended, the ids are written as little-endian integers and compressed: one frame a document.
-   The tokenizer splits at white space, so a text is encoded word by word and a task keeps the ids of words it has met in a memory of bounded size.
-3. Frames are put in ascending order of id by ranges (nulls first; ties by content) and packed into blocks of about ``BLOCK`` bytes by their tasks, frame after
-   frame. A block is written as one binary value, so Spark's writer commits it on any store and a lost executor leaves no half file.
+2. Texts are put in ascending order of id by ranges (nulls first; ties by content). The task of a range encodes each text, appends the end id, writes the ids
+   as little-endian integers, compresses them (one frame a document) and packs frame after frame into blocks of about ``BLOCK`` bytes, all as the texts
+   stream by. The tokenizer splits at white space, so a task keeps the ids of the parts it has met in a memory of bounded size.
+3. A block is written as one binary value, so Spark's writer commits it on any store and a lost executor leaves no half file.
 4. Block: magic ``TMTK``, version, bytes per id, number of documents (4 bytes), first 8 bytes of the dictionary's sha256, then three columns of the offset
    index (ids as 8 bytes, null flags as 1 byte, ends of frames as 8 bytes), then the frames. All numbers are little-endian.
 5. ``read_back`` decompresses all blocks; ``read_documents`` finds the blocks of some ids in the index and decompresses only their frames. Both refuse a
@@ -38,8 +38,9 @@ SAMPLE = 2_000
 SAMPLE_BYTES = 16_384
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
-MEMORY = 400_000
+MEMORY = 300_000
 LONG_WORD = 100
+SLICE = 512
 BLOCK = 1 << 20
 RANGE_BYTES = 32 << 20
 MOST_RANGES = 4096
@@ -55,21 +56,24 @@ def id_width(tokenizer: str) -> int:
     return 2 if Tokenizer.from_str(tokenizer).get_vocab_size() <= 65_536 else 4
 
 
-# Words of common Latin letters and ASCII marks (not the dotted capital I, whose small form has two characters), and the parts into
-# which the tokenizer's split pattern cuts such a word in lower case.
-PLAIN_WORD = re.compile("[!-~À-įı-ž]+")
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-zß-öø-ž0-9]+")
+# Texts of common Latin letters, ASCII marks and blanks (without the dotted capital I, whose small form has two characters), and the
+# parts into which the tokenizer's split pattern cuts such a text in lower case.
+PLAIN_TEXT = re.compile("[ \n\t\r!-~À-įı-ž]*")
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-zß-öø-ž0-9 \n\t\r]+")
 
 
 class WordIds:
     """Serialised ids of words, asked of the tokenizers library and remembered in a memory of bounded size.
 
-    Plain words are encoded many at a time: the library marks the last id of each part of a word, so the ids of one string of words
-    can be told apart again. All other words are encoded one by one.
+    A plain text is cut into the parts that the tokenizer's own pattern gives; parts not met before are encoded many at a time, and told apart again by
+    the marks that the vocabulary sets on the last id of each. Any other text is cut at blanks, and its new words are encoded one by one. The
+    memory has two halves: parts met lately, and those met before the last change of halves, which come back when they are met again.
     """
 
     def __init__(self, tokenizer: str, width: int):
-        self.library, self.kind, self.memory = Tokenizer.from_str(tokenizer), f"<u{width}", {}
+        self.library, self.kind = Tokenizer.from_str(tokenizer), f"<u{width}"
+        self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         suffix = json.loads(tokenizer)["model"].get("end_of_word_suffix") or ""
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -79,22 +83,21 @@ class WordIds:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _together(self, words: list[str]) -> dict[str, bytes] | None:
-        ids = self._encode([" ".join(words)])[0]
-        last = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
-        parts = np.cumsum([0, *(len(PARTS.findall(w.lower())) for w in words)])
-        if parts[-1] != len(last) - 1 or last[-1] != len(ids):
-            return None
-        raw, cuts = ids.tobytes(), (last[parts] * ids.itemsize).tolist()
-        return {w: raw[cuts[i] : cuts[i + 1]] for i, w in enumerate(words)}
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if PLAIN_WORD.fullmatch(w) and "<|" not in w]
+    def _together(self, parts: list[str]) -> dict[str, bytes]:
+        """Of parts that the pattern does not cut again; nothing if the marks do not agree."""
+        ids = self._encode([" ".join(parts)])[0]
+        cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()]
+        raw = ids.tobytes()
+        if len(cuts) != len(parts) + 1 or cuts[-1] != len(raw):
+            return {}
+        return dict(zip(parts, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+
+    def learn(self, words: list[str], plain: bool) -> dict[str, bytes]:
         found: dict[str, bytes] = {}
-        for at in range(0, len(plain), 1000):
-            found |= self._together(plain[at : at + 1000]) or {}
-        rest = [w for w in words if w not in found]
-        found.update(zip(rest, (ids.tobytes() for ids in self._encode(rest)), strict=True))
+        for at in range(0, len(words), 500):
+            part = words[at : at + 500]
+            known = self._together(part) if plain else {}
+            found |= known or dict(zip(part, (ids.tobytes() for ids in self._encode(part)), strict=True))
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -103,16 +106,22 @@ class WordIds:
         Blanks and line ends are no part of any token, and no normalisation reaches across them, so the ids of a text are those of
         its words one after the other. Words longer than ``LONG_WORD`` are not kept.
         """
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        needed = {w for words in cut for w in words}
-        if len(self.memory) + len(needed) > MEMORY:
-            self.memory.clear()
-        memory = self.memory
-        memory.update(self.learn([w for w in needed if w not in memory]))
-        out = [b"".join([memory[w] for w in words]) for words in cut]
-        for w in needed:
-            if len(w) > LONG_WORD:
-                del memory[w]
+        texts = [t or "" for t in texts]
+        plain = ["<|" not in t and PLAIN_TEXT.fullmatch(t) is not None for t in texts]
+        cut = [PARTS.findall(t.lower()) if p else t.replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True)]
+        if len(self.memory) > MEMORY:
+            self.memory, self.older = {}, self.memory
+        memory, older = self.memory, self.older
+        long = []
+        for kind in (True, False):
+            missing = set().union(*(c for c, p in zip(cut, plain, strict=True) if p is kind)).difference(memory)
+            memory.update((w, older[w]) for w in missing if w in older)
+            fresh = self.learn([w for w in missing if w not in older], kind)
+            memory.update(fresh)
+            long += [w for w in fresh if len(w) > LONG_WORD]
+        out = [b"".join(map(memory.__getitem__, words)) for words in cut]
+        for w in long:
+            memory.pop(w, None)
         return out
 
 
@@ -218,56 +227,45 @@ class TokenStore:
     dictionary: bytes
 
 
-def frames(docs: DataFrame, doc_id: str, text: str, tokenizer: str, end_id: int, dictionary: bytes) -> DataFrame:
-    """(id, no_id, n_tokens, frame) of every document."""
-    width = id_width(tokenizer)
-    shared = docs.sparkSession.sparkContext.broadcast((tokenizer, dictionary))
-    end = end_id.to_bytes(width, "little")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, squeeze = word_ids(shared.value[0], width).encode, compressor(shared.value[1]).compress
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                raw = [ids + end for ids in encode(part.column("text").to_pylist())]
-                counts = pa.array([len(r) // width for r in raw], pa.int64())
-                squeezed = pa.array([squeeze(r) for r in raw], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("no_id"), counts, squeezed], ["id", "no_id", "n_tokens", "frame"])
-
-    key = F.col(doc_id).cast("long")
-    rows = docs.select(F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("no_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, no_id boolean, n_tokens long, frame binary")
-
-
 BLOCKS = "range int, block int, first long, n_docs int, n_tokens long, bytes binary"
 
 
-def blocks(rows: DataFrame, width: int, dictionary: bytes, block_bytes: int) -> DataFrame:
-    """Blocks of rows that lie in order within their partition; ``first`` counts the ids before a block within its range."""
-    digest = dictionary_hash(dictionary)
+def blocks(rows: DataFrame, tokenizer: str, end_id: int, dictionary: bytes, block_bytes: int) -> DataFrame:
+    """Blocks of the rows (id, no_id, text, range), which lie in order within their partition; ``first`` counts the ids before a block within its range.
+
+    Texts are encoded, compressed and packed as they stream by: a task holds one slice of texts and the frames of one block.
+    """
+    width = id_width(tokenizer)
+    shared = rows.sparkSession.sparkContext.broadcast((tokenizer, dictionary))
+    end, digest = end_id.to_bytes(width, "little"), dictionary_hash(dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, squeeze = word_ids(shared.value[0], width).encode, compressor(shared.value[1]).compress
         held: list[tuple] = []
         size = first = block = 0
 
         def written() -> pa.RecordBatch:
-            ids, nulls, counts, parts, ranges = zip(*held, strict=True)
+            ids, nulls, counts, frames, ranges = zip(*held, strict=True)
             row = {"range": [ranges[0]], "block": [block], "first": [first], "n_docs": [len(held)], "n_tokens": [sum(counts)]}
-            row["bytes"] = [pack(ids, nulls, parts, width, digest)]
+            row["bytes"] = [pack(ids, nulls, frames, width, digest)]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
         for batch in batches:
-            for item in zip(*(batch.column(c).to_pylist() for c in ("id", "no_id", "n_tokens", "frame", "range")), strict=True):
-                held.append(item)
-                size += len(item[3])
-                if size >= block_bytes:
-                    yield written()
-                    first, block, size, held = first + sum(h[2] for h in held), block + 1, 0, []
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                keys = (part.column(c).to_pylist() for c in ("id", "no_id", "range"))
+                for doc, null, place, ids in zip(*keys, encode(part.column("text").to_pylist()), strict=True):
+                    raw = ids + end
+                    held.append((doc, null, len(raw) // width, squeeze(raw), place))
+                    size += len(held[-1][3])
+                    if size >= block_bytes:
+                        yield written()
+                        first, block, size, held = first + sum(h[2] for h in held), block + 1, 0, []
         if held:
             yield written()
 
-    return rows.select("id", "no_id", "n_tokens", "frame", "range").mapInArrow(run, BLOCKS)
+    return rows.select("id", "no_id", "text", "range").mapInArrow(run, BLOCKS)
 
 
 def write_store(
@@ -275,11 +273,12 @@ def write_store(
 ) -> TokenStore:
     """Encode, compress and write all documents; ``tokenizer`` is the JSON of a tokenizers file."""
     dictionary = learn_dictionary(docs, text, end_id, tokenizer)
-    made = materialize(frames(docs, doc_id, text, tokenizer, end_id, dictionary), "token-frames")
-    total = made.agg(F.sum(F.octet_length("frame"))).first()[0] or 0
-    order = [F.desc("no_id"), F.asc("id"), F.xxhash64("frame").asc()]
-    ranged = made.repartitionByRange(max(1, min(MOST_RANGES, -(-total // range_bytes))), *order).sortWithinPartitions(*order, F.asc("frame"))
-    packed = materialize(blocks(ranged.withColumn("range", F.spark_partition_id()), id_width(tokenizer), dictionary, block_bytes), "token-blocks")
+    key = F.col(doc_id).cast("long")
+    rows = docs.select(F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("no_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = [F.desc("no_id"), F.asc("id"), F.xxhash64("text").asc()]
+    ranged = rows.repartitionByRange(max(1, min(MOST_RANGES, -(-total // range_bytes))), *order).sortWithinPartitions(*order, F.asc("text"))
+    packed = materialize(blocks(ranged.withColumn("range", F.spark_partition_id()), tokenizer, end_id, dictionary, block_bytes), "token-blocks")
     totals = {r[0]: r[1] for r in packed.groupBy("range").agg(F.sum("n_tokens")).collect()}  # at most MOST_RANGES rows
     bases, before = {}, 0
     for r in sorted(totals):
