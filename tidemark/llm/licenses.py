@@ -15,9 +15,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# The SQL tries runs of so many pieces.
-WRAP = 3
-
 # Known licence sentences, normalised, and their identifiers.
 SENTENCES = {
     "licensed under the apache license version 2.0": "apache2",
@@ -93,9 +90,6 @@ RULES = [
 # Every known sentence holds one of these words, so a text without them needs no cutting. No line end can part them.
 WORDS = "licen|permission|redistribut|copyright|warrant|domain|reserved"
 
-# The SQL asks for these.
-KEYS = "licen|permission|redistribut|copyright|warrant|public domain|any later version|rights reserved"
-
 CUT = r"\n|[.!?;][ \t\r]+"
 
 
@@ -154,20 +148,30 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def oracle_sql() -> str:
-    """The same scan in DuckDB."""
+    """The same scan in DuckDB, by another way: runs of pieces of any length are looked up whole, without a filter of key words.
+
+    Known sentences enter as they are written and are normalised by SQL; a run may be as long as the longest of them has words.
+    """
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in SENTENCES.items())
-    rules = ", ".join(f"({n}, {quote(name)}, {quote(',' + ','.join(seq) + ',')})" for n, (name, seq) in enumerate(RULES))
-    runs = " union all ".join(
-        f"select row, i, {n} as n, trim(regexp_replace(regexp_replace(lower(array_to_string(list_slice(p, i, i + {n - 1}), ' ')), "
-        "'[^a-z0-9.+-]+', ' ', 'g') || ' ', '[.]+ ', ' ', 'g')) as s from pieces, unnest(range(1, len(p) + 1)) as u(i)"
-        for n in range(1, WRAP + 1)
-    )
+    known = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in (SENTENCES | WHOLE).items())
+    rules = ", ".join(f"({n}, {quote(name)}, {quote(',' + ','.join(seq) + ',')})" for n, (name, seq) in enumerate(WHOLE_RULES + RULES))
+
+    def words(c: str) -> str:
+        spaced = f"regexp_replace(' ' || lower({c}) || ' ', '[^a-z0-9.+-]+', '  ', 'g')"
+        return f"trim(regexp_replace(regexp_replace(regexp_replace({spaced}, ' [.+-]+', ' ', 'g'), '[.+-]+ ', ' ', 'g'), ' +', ' ', 'g'))"
+
     return f"""
         with docs as (select row_number() over () as row, doc_id, coalesce(text, '') as body from documents),
-        pieces as (select row, regexp_split_to_array(case when regexp_matches(lower(body), '{KEYS}') then body else '' end, '\\n|[.!?;][ \\t\\r]+') as p from docs),
-        known(s, id) as (values {known}), rules(n, name, line) as (values {rules}),
-        runs as ({runs}),
+        known as materialized (
+            select words as s, id, len(string_split(words, ' ')) as n_words, min(len(string_split(words, ' '))) over (partition by words) as least
+            from (select {words('w')} as words, i as id from (values {known}) as k(w, i))),
+        starts as (select distinct string_split(s, ' ')[1] as head from known),
+        longest as (select max(n_words) as most from known),
+        cut as (select row, list_filter(list_transform(regexp_split_to_array(body, '\n|[.!?;][ \t\r]+'), lambda x: {words('x')}), lambda x: x <> '') as p from docs),
+        places as (select row, p, i from cut, unnest(range(1, len(p) + 1)) as u(i) where string_split(p[i], ' ')[1] in (select head from starts)),
+        runs as (select row, i, n, array_to_string(list_slice(p, i, i + n - 1), ' ') as s
+            from places, unnest(range(1, least(len(p) - i + 1, (select most from longest)) + 1)) as v(n)),
+        rules(n, name, line) as (values {rules}),
         found as (select row, i, first(id order by n) as id from runs join known using (s) group by row, i),
         lines as (select row, string_agg(id, ',' order by i) as ids, count(*) as n from found group by row),
         hits as (select row, name, min(r.n) as first from lines, rules r where contains(',' || ids || ',', r.line) group by row, name),
