@@ -12,11 +12,11 @@ so repeated rows repeat their result. Whole texts are compressed, whatever their
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,7 +24,7 @@ from tidemark.operators.distributed import top_per_key
 
 UNKNOWN = "und"
 BLOCK = 2048
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def learn_dictionaries(
