@@ -307,36 +307,27 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return spans.groupBy("key").agg(F.collect_set("s").alias("spans"))
 
 
-def merged(spans: list, size: int) -> list[tuple[int, int]]:
+SPAN = "array<struct<start:bigint,end:bigint>>"
+
+
+def merged(spans: Column, size: Column) -> Column:
     """Sorted spans without overlap, inside the text, each at least ``MIN_LENGTH`` long before merging."""
-    out: list[tuple[int, int]] = []
-    for start, end in sorted((s["start"], min(s["end"], size)) for s in spans):
-        if end - start < MIN_LENGTH:
-            continue
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((start, end))
-    return out
+    inside = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.least(s["end"], size).alias("end")))
+    long_enough = F.sort_array(F.filter(inside, lambda s: s["end"] - s["start"] >= MIN_LENGTH))
 
+    def add(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(s["start"] <= last["end"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(s)))
 
-def _without(text: str, copies: int, spans: list | None) -> tuple[int, int, list[int], list[int], bytes]:
-    raw = text.encode()
-    if copies > 1 and len(raw) >= MIN_LENGTH:
-        cuts = [(0, len(raw))]
-    else:
-        cuts = [] if spans is None else merged(spans, len(raw))
-    kept, at = [], 0
-    for start, end in cuts:
-        kept.append(raw[at:start])
-        at = end
-    kept.append(raw[at:])
-    return len(raw), sum(e - s for s, e in cuts), [s for s, _ in cuts], [e for _, e in cuts], b"".join(kept)
+    return F.aggregate(long_enough, F.array().cast(SPAN), add)
 
 
-def _cut_out(texts: pd.Series, copies: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    rows = [_without(*x) for x in zip(texts, copies, spans, strict=True)]
-    return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "starts", "ends", "kept"])
+def kept_bytes(raw: Column, starts: Column, ends: Column) -> Column:
+    """The bytes outside the spans, put together."""
+    from_, to = F.concat(F.array(F.lit(0).cast("long")), ends), F.concat(starts, F.array(F.octet_length(raw).cast("long")))
+    pieces = F.zip_with(from_, to, lambda f, t: F.substring(raw, (f + 1).cast("int"), (t - f).cast("int")))
+    return F.aggregate(pieces, F.lit(b"").cast("binary"), lambda done, piece: F.concat(done, piece))
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -347,14 +338,20 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     release(docs.sparkSession)
     copies = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "suffix-copies")
     known = spans.join(copies, "key", "full_outer").select("key", F.coalesce("copies", F.lit(1)).alias("copies"), "spans")
-    placed = rows.join(known, "key", "left")
-    cut_out = F.pandas_udf(_cut_out, "n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary")
-    cut = cut_out("text", F.coalesce("copies", F.lit(1)), "spans").alias("cut")
-    return placed.select("row", cut).select("row", "cut.*")
+    size = F.octet_length("text").cast("long")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end")))
+    none = F.array().cast(SPAN)
+    cuts = F.when((F.coalesce("copies", F.lit(1)) > 1) & (size >= MIN_LENGTH), whole).otherwise(F.coalesce(merged(F.col("spans"), size), none))
+    # exploded from an array of one, so that the fold over the spans is run once a row
+    placed = rows.join(known, "key", "left").select("row", F.col("text").cast("binary").alias("raw"), F.explode(F.array(F.struct(size.alias("n_bytes"), cuts.alias("cuts")))).alias("c"))
+    starts, ends = F.transform("c.cuts", lambda s: s["start"]), F.transform("c.cuts", lambda s: s["end"])
+    removed = F.aggregate("c.cuts", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    kept = F.when(F.size("c.cuts") == 0, F.col("raw")).otherwise(kept_bytes(F.col("raw"), starts, ends))
+    return placed.select("row", "c.n_bytes", removed.alias("n_removed"), starts.alias("starts"), ends.alias("ends"), kept.alias("kept"))
 
 
 def _decoded(kept: pd.Series) -> pd.Series:
-    return kept.map(lambda b: b.decode("utf-8", "ignore"))
+    return kept.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
 
 
 def readable(kept: Column) -> Column:
