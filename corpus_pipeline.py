@@ -28,7 +28,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated 400-byte strings; a document goes only when nothing of it is left."""
     cut = suffix_dedup.remove_repeats(docs).where("n_removed = 0 or octet_length(kept) > 0")
-    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(suffix_dedup.readable(F.col("kept")))
+    left = suffix_dedup.readable(F.when(F.col("n_removed") > 0, F.col("kept")))
+    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(left)
     columns = {c: F.col("row").getField(c) for c in docs.columns}
     columns |= {"text": text, "n_chars": F.char_length(F.coalesce(text, F.lit(""))).cast(docs.schema["n_chars"].dataType)}
     return cut.select(*[columns[c].alias(c) for c in docs.columns])
