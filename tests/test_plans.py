@@ -7,7 +7,10 @@ import pytest
 from tidemark.plans.catalog import all_queries
 
 QUERIES = {n: q for n, q in all_queries().items() if not q.build.__module__.endswith("modelling")}
-PYTHON_OK = {"chunk_pack", "dense_topk", "dense_topk_grid"}
+PYTHON_OK = {
+    "chunk_pack", "dense_topk", "dense_topk_grid", "dense_topk_cells", "rrf_fusion", "compare_methods", "two_stage_rerank", "answer_prompt",
+    "longest_alias", "geo_answer", "role_alias", "route_cascade",
+}
 
 
 def plan(df) -> str:
@@ -38,3 +41,16 @@ def test_top_k_is_pruned_before_the_shuffle(tables):
 
 def test_rows_per_key_combine_before_the_shuffle(tables):
     assert "partial_min_by" in plan(QUERIES["dedup_keep_first"].build(tables))
+
+
+def test_no_fold_stands_above_the_explosion_of_terms(spark):
+    """Length and norm of a document are worked out once a row, not once a term."""
+    from tidemark.functions.text import search_tokens
+    from tidemark.operators import retrieval as rt
+
+    docs = spark.createDataFrame([(1, "a b a")], "doc long, text string")
+    rows = rt.document_terms(docs, "doc", "text", search_tokens)
+    out = rows.selectExpr("doc", "dl", "norm", "explode(runs) as r").selectExpr("doc", "r.term", "r.tf", "dl", "norm")
+    optimised = plan(out).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    above = optimised[: optimised.rindex("Generate explode", 0, optimised.rindex("Generate explode"))]
+    assert "aggregate(" not in above

@@ -12,7 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.text import mask_private
-from tidemark.operators.distributed import first_per_key, top_per_key
+from tidemark.operators.aliases import contained_names
+from tidemark.operators.distributed import first_per_key, materialize, spread_scan, top_per_key
 
 # Canonical phrases by class and language. ``{company}`` is filled in by the caller.
 PHRASES = {
@@ -216,21 +217,12 @@ def extract_codes(questions: DataFrame, qid: str, text: str, codes: DataFrame) -
 
 
 def longest_alias(texts: DataFrame, key: str, text: str, aliases: DataFrame, min_len: int = 1) -> DataFrame:
-    """Longest alias contained anywhere in each text, ties alphabetical; texts without one are left out.
-
-    For every length that occurs among the aliases a text offers its distinct pieces of that length. They meet the aliases on
-    equality, so containment needs no nested loop, no alias draws more than its own matches, and the alias table may have any size.
-    """
+    """Longest alias contained anywhere in each text, ties alphabetical; texts without one are left out."""
     names = aliases.select(F.lower(F.col(aliases.columns[0])).alias("alias")).where(F.length("alias") >= min_len).distinct()
-    lengths = names.agg(F.collect_set(F.length("alias")).alias("l")).scalar()
-    pieces_of = lambda n: F.regexp_extract_all(
-        F.lower(F.col(text)), F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))")), F.lit(1)
-    )
-    offered = texts.withColumn("__lengths", lengths)
-    pieces = F.array_distinct(F.flatten(F.transform("__lengths", pieces_of)))
-    hits = offered.select(key, F.explode(pieces).alias("alias")).join(names, "alias")
-    best = F.min_by("alias", F.struct((-F.length("alias")).alias("l"), F.col("alias"))).alias("alias")
-    return hits.groupBy(key).agg(best)
+    lowered = spread_scan(texts.select(key, F.lower(F.col(text)).alias("__low")))
+    hits = contained_names(lowered, key, "__low", materialize(names, "aliases"))
+    best = F.min(F.struct((-F.length("alias")).alias("l"), F.col("alias"))).alias("b")
+    return hits.groupBy(key).agg(best).select(key, F.col("b.alias").alias("alias"))
 
 
 def resolve_alias(
@@ -337,16 +329,19 @@ def unique_names(people: DataFrame, first: str, last: str, keep: Sequence[str])
     return grouped.where(F.col("n") == 1).select("first_key", "last_key", "row.*")
 
 
+def name_bigrams_of(text: Column) -> Column:
+    """Adjacent word pairs of a text, as structs of two upper-case keys, in order; null for a text of one word."""
+    tokens = F.split(F.upper(F.regexp_replace(F.trim(text), r"[^\p{L}\p{N}\p{M} ]", " ")), r"\s+")
+    pairs = F.transform(
+        F.array(tokens),
+        lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.struct(a.alias("first_key"), b.alias("last_key"))),
+    )
+    return F.when(F.size(tokens) > 1, F.get(pairs, F.lit(0)))
+
+
 def name_bigrams(questions: DataFrame, qid: str, text: str) -> DataFrame:
     """Adjacent word pairs of each question with their position."""
-    tokens = F.split(F.upper(F.regexp_replace(F.trim(F.col(text)), r"[^\p{L}\p{N}\p{M} ]", " ")), r"\s+")
-    return questions.select(qid, tokens.alias("__w")).where(F.size("__w") > 1).select(
-        qid,
-        F.posexplode(
-            F.zip_with(F.slice("__w", F.lit(1), F.size("__w") - 1), F.slice("__w", F.lit(2), F.size("__w") - 1),
-                       lambda a, b: F.struct(a.alias("first_key"), b.alias("last_key")))
-        ).alias("pos", "p"),
-    ).select(qid, "pos", "p.first_key", "p.last_key")
+    return questions.select(qid, F.posexplode(name_bigrams_of(F.col(text))).alias("pos", "p")).select(qid, "pos", "p.first_key", "p.last_key")
 
 
 def unique_name_lookup(questions: DataFrame, qid: str, text: str, unique: DataFrame, keep: Sequence[str]) -> DataFrame:

@@ -37,6 +37,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
+def spread_scan(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """Deal the rows of a table scan to all cores when its files give too few splits (one huge row group, say).
+
+    Only such a scan is dealt out, so what moves is less than ``per_core`` splits a core; a scan with enough splits stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= per_core * cores else df.repartition(per_core * cores)
+
+
 def hash_bucket(digest: Column, digits: int = 4) -> Column:
     """Leading hex digits of a digest as a number; rises with the digest, so it may bucket an order by digest."""
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("int")

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.operators.distributed import materialize, top_per_key
+from tidemark.operators.distributed import materialize, spread_scan, top_per_key
 
 SCORE_DIGITS = 6  # scores are rounded before ranking, so equal copies tie exactly and fall back to the id
 
@@ -19,17 +19,19 @@ def idf(df: Column, n_docs: Column) -> Column:
     return F.ln(F.lit(1.0) + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def postings(docs: DataFrame, key: str, text: str, tokenize: Callable[[Column], Column]) -> DataFrame:
-    """(key, term, tf, dl, norm): term counts with the document's length and vector norm.
+GROUP = 256  # documents of one block of postings
 
-    Counts are made inside the row, as runs of the sorted tokens: a document never leaves its task, and no text is shuffled.
+
+def document_terms(docs: DataFrame, key: str, text: str, tokenize: Callable[[Column], Column]) -> DataFrame:
+    """(key, dl, norm, runs): each document's terms with their counts, its length and its vector norm.
+
+    Counts are runs of the sorted tokens inside the row, so no text is shuffled. Length and norm are made in the same row before any term
+    is exploded; the struct passes through ``explode``, so no optimiser rule can move them above the explosion of the terms.
     """
-    counted = F.transform(F.array(F.sort_array(tokenize(F.col(text)))), _runs)
-    rows = docs.select(key, F.explode(counted).alias("runs"))
-    squares = F.aggregate("runs", F.lit(0.0), lambda a, r: a + (r["tf"] * r["tf"]).cast("double"))
-    total = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["tf"])
-    rows = rows.select(key, total.alias("dl"), F.sqrt(squares).alias("norm"), F.explode("runs").alias("r"))
-    return rows.select(key, "r.term", "r.tf", "dl", "norm")
+    whole = F.transform(F.array(F.sort_array(tokenize(F.col(text)))), lambda t: F.struct(_runs(t).alias("runs"), F.size(t).cast("long").alias("dl")))
+    square = lambda d: F.aggregate(d["runs"], F.lit(0.0), lambda a, r: a + (r["tf"] * r["tf"]).cast("double"))
+    full = F.transform(whole, lambda d: F.struct(d["runs"].alias("runs"), d["dl"].alias("dl"), F.sqrt(square(d)).alias("norm")))
+    return docs.select(key, F.explode(full).alias("d")).select(key, "d.dl", "d.norm", "d.runs")
 
 
 def _runs(tokens: Column) -> Column:
@@ -48,27 +50,56 @@ def _runs(tokens: Column) -> Column:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """A document table tokenised once: its postings as a written table, and the number of documents."""
+    """Documents tokenised once, their postings written in blocks: one row per term and group of about ``GROUP`` documents.
+
+    ``blocks``: term, grp, n postings, total tf, ``most`` (largest tf) and ``densest`` (largest tf / length), from which the largest
+    contribution of the block follows for any BM25 parameters, and ``posts``, structs of document, tf, dl and norm.
+    """
 
     key: str
-    postings: DataFrame
+    blocks: DataFrame
     docs: DataFrame
+    groups: int
+
+    def group_of(self, doc: Column) -> Column:
+        return F.pmod(F.xxhash64(doc), F.lit(self.groups)).cast("int")
+
+    @property
+    def postings(self) -> DataFrame:
+        """(document, term, tf, dl, norm), one row per posting."""
+        p = self.blocks.select("term", F.explode("posts").alias("p"))
+        return p.select(F.col("p.doc").alias(self.key), "term", "p.tf", "p.dl", "p.norm")
 
     def n_docs(self) -> Column:
         return self.docs.agg(F.count(F.lit(1)).alias("n")).scalar()
 
     def mean_length(self) -> Column:
         """Mean tokens per document, empty documents included."""
-        return self.postings.agg(F.sum("tf").alias("t")).scalar() / self.n_docs()
+        return self.blocks.agg(F.sum("total").alias("t")).scalar() / self.n_docs()
 
     def term_stats(self) -> DataFrame:
-        terms = self.postings.groupBy("term").agg(F.sum("tf").alias("total_tf"), F.count(F.lit(1)).alias("df"))
+        terms = self.blocks.groupBy("term").agg(F.sum("total").alias("total_tf"), F.sum("n").alias("df"))
         return terms.withColumn("idf", idf(F.col("df"), self.n_docs()))
 
 
-def build_index(docs: DataFrame, key: str, text: str, tokenize: Callable[[Column], Column]) -> TextIndex:
-    """Tokenise the documents once and write their postings to the shared folder."""
-    return TextIndex(key, materialize(postings(docs, key, text, tokenize), "postings"), docs.select(key))
+def build_index(docs: DataFrame, key: str, text: str, tokenize: Callable[[Column], Column], group: int = GROUP) -> TextIndex:
+    """Tokenise the documents once and write their postings, clustered by term, to the shared folder.
+
+    Only (document, term, counts) is shuffled. The groups cut a term that every document holds into as many tasks as there are groups.
+    """
+    ids = docs.select(key)
+    groups = max(1, -(-ids.count() // group))
+    terms = document_terms(spread_scan(docs.select(key, text)), key, text, tokenize)
+    flat = terms.select(F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("grp"), key, "dl", "norm", F.explode("runs").alias("r"))
+    post = F.struct(F.col(key).alias("doc"), F.col("r.tf").alias("tf"), "dl", "norm")
+    blocks = flat.groupBy(F.col("r.term").alias("term"), "grp").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("r.tf").alias("total"),
+        F.max("r.tf").alias("most"),
+        F.max(F.col("r.tf") / F.col("dl")).alias("densest"),
+        F.collect_list(post).alias("posts"),
+    )
+    return TextIndex(key, materialize(blocks, "postings"), ids, groups)
 
 
 def query_terms(queries: DataFrame, query_key: str, tokens: Column) -> DataFrame:
@@ -79,37 +110,102 @@ def query_terms(queries: DataFrame, query_key: str, tokens: Column) -> DataFrame
     )
 
 
-def matching_postings(index: TextIndex, qterms: DataFrame) -> DataFrame:
-    """Postings of the terms that occur in some query, together again per document.
+def matching_posts(index: TextIndex, weights: DataFrame) -> DataFrame:
+    """(grp, p, columns of ``weights``) of every posting of a term asked for.
 
-    Everything else is gone before the shuffle; after it, scores per (query, document) add up inside one partition
-    and only each partition's best hits travel on, never one row per query and document.
+    All else is gone before anything moves. The blocks travel by group, so the sums of a query and document add up in one task, without
+    another shuffle where the query terms are small enough for Spark to broadcast them.
     """
-    wanted = qterms.select("term").distinct()
-    return index.postings.join(wanted, "term", "left_semi").repartition(index.key)
+    wanted = index.blocks.join(weights.select("term").distinct(), "term", "left_semi").repartition("grp")
+    return wanted.select("term", "grp", F.explode("posts").alias("p")).join(weights, "term")
+
+
+def bm25_weights(index: TextIndex, qterms: DataFrame, query_key: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query, term, w, df, bound): weight of each query term that occurs, its postings, and the most that it can add to a score."""
+    heads = index.blocks.join(qterms.select("term").distinct(), "term", "left_semi").groupBy("term")
+    terms = heads.agg(F.sum("n").alias("df"), F.max("most").alias("most"), F.max("densest").alias("densest"))
+    top = (k1 + 1.0) / (1.0 + k1 * (1.0 - b) / F.col("most") + k1 * b / (F.col("densest") * index.mean_length()))
+    weight = (idf(F.col("df"), index.n_docs()) * F.col("qtf")).alias("w")
+    return qterms.join(terms, "term").select(query_key, "term", weight, "df", top.alias("top")).select(
+        query_key, "term", "w", "df", (F.col("w") * F.col("top")).alias("bound")
+    )
+
+
+def bm25_part(index: TextIndex, tf: Column, dl: Column, k1: float = 1.5, b: float = 0.75) -> Column:
+    return tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl / index.mean_length()))
+
+
+def _sums(index: TextIndex, weights: DataFrame, query_key: str, k1: float, b: float) -> DataFrame:
+    """(query, grp, document, s): unrounded sums over the given terms."""
+    hits = matching_posts(index, weights.select(query_key, "term", "w"))
+    part = F.col("w") * bm25_part(index, F.col("p.tf"), F.col("p.dl"), k1, b)
+    return hits.groupBy(query_key, "grp", F.col("p.doc").alias(index.key)).agg(F.sum(part).alias("s"))
 
 
 def bm25_scores(index: TextIndex, qterms: DataFrame, query_key: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query, document, score) of every document sharing a term with the query."""
-    hits = matching_postings(index, qterms)
-    df = index.postings.join(qterms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(
-        F.count(F.lit(1)).alias("df")
-    )
-    weighted = qterms.join(df, "term").select(query_key, "term", (idf(F.col("df"), index.n_docs()) * F.col("qtf")).alias("w"))
-    length = 1.0 - b + b * F.col("dl") / index.mean_length()
-    part = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * length)
-    scored = hits.select(index.key, "term", part.alias("part")).join(weighted, "term")
-    return scored.groupBy(query_key, index.key).agg(F.round(F.sum(F.col("w") * F.col("part")), SCORE_DIGITS).alias("score"))
+    found = _sums(index, bm25_weights(index, qterms, query_key, k1, b), query_key, k1, b)
+    return found.select(query_key, index.key, F.round("s", SCORE_DIGITS).alias("score"))
+
+
+MARGIN = 2e-6  # sums are compared before they are rounded to SCORE_DIGITS
+SEED_SHARE = 0.1
+
+
+def _floors(sums: DataFrame, query_key: str, doc_key: str, k: int) -> DataFrame:
+    """(query, floor): k-th largest partial sum, 0 where there are fewer. Parts are never negative, so the k-th score is no less."""
+    best = top_per_key(sums, [query_key], [F.desc("s"), F.asc(doc_key)], k, out="__r")
+    return best.groupBy(query_key).agg(F.when(F.count(F.lit(1)) == k, F.min("s")).otherwise(0.0).alias("floor"))
+
+
+def essential_terms(index: TextIndex, qterms: DataFrame, query_key: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The query terms (query, term, w, df, bound, rest) with the flag ``essential``.
+
+    Terms stand by falling bound; ``rest`` is what all later ones can add. The first ones, as far as they hold a tenth of the query's
+    postings, are scored; the k-th best sum is a floor of the k-th score. A term is essential unless it and all later ones together stay below
+    that floor: a document that holds no essential term cannot be among the first k.
+    """
+    after = Window.partitionBy(query_key).orderBy(F.desc("bound"), "term")
+    weights = bm25_weights(index, qterms, query_key, k1, b).withColumns({
+        "rest": F.coalesce(F.sum("bound").over(after.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)),
+        "before": F.coalesce(F.sum("df").over(after.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "all_df": F.sum("df").over(Window.partitionBy(query_key)),
+    })
+    placed = materialize(weights, "query-terms")
+    seeds = placed.where((F.col("before") == 0) | (F.col("before") + F.col("df") <= SEED_SHARE * F.col("all_df")))
+    floors = _floors(_sums(index, seeds, query_key, k1, b), query_key, index.key, k)
+    known = placed.join(floors, query_key, "left")
+    return known.withColumn("essential", F.col("bound") + F.col("rest") >= F.coalesce("floor", F.lit(0.0)) - MARGIN).drop("before", "all_df", "floor")
+
+
+def bm25_topk(index: TextIndex, qterms: DataFrame, query_key: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query, document, score, rank): the same rows as ranking ``bm25_scores``, without scoring documents that cannot be among them.
+
+    Essential terms are summed up over their postings. A document whose sum, with the most that the other terms can add, stays below
+    the k-th sum is dropped. Only for what is left the blocks of the other terms are opened, by (term, group).
+    """
+    terms = materialize(essential_terms(index, qterms, query_key, k, k1, b), "essential-terms")
+    others = terms.where("not essential")
+    rest = others.groupBy(query_key).agg(F.sum("bound").alias("others"))
+    sums = materialize(_sums(index, terms.where("essential"), query_key, k1, b), "essential-sums")
+    limits = _floors(sums, query_key, index.key, k).join(rest, query_key, "left").withColumn("others", F.coalesce("others", F.lit(0.0)))
+    alive = sums.join(limits, query_key).where(F.col("s") + F.col("others") >= F.col("floor") - MARGIN)
+    pairs = alive.where("others > 0").join(others.select(query_key, "term", "w"), query_key).select(query_key, "grp", index.key, "term", "w")
+    opened = pairs.join(index.blocks.select("term", "grp", "posts"), ["term", "grp"])
+    post = F.get(F.filter("posts", lambda p: p["doc"] == F.col(index.key)), F.lit(0))
+    found = opened.select(query_key, index.key, "w", post.alias("p")).where("p is not null")
+    added = found.select(query_key, index.key, (F.col("w") * bm25_part(index, F.col("p.tf"), F.col("p.dl"), k1, b)).alias("s"))
+    total = alive.select(query_key, index.key, "s").unionByName(added).groupBy(query_key, index.key)
+    return rank_top(total.agg(F.round(F.sum("s"), SCORE_DIGITS).alias("score")), query_key, index.key, k)
 
 
 def cosine_scores(index: TextIndex, qterms: DataFrame, query_key: str) -> DataFrame:
     """Cosine of raw term counts between every query and the documents that share a term with it."""
     qnorm = qterms.groupBy(query_key).agg(F.sqrt(F.sum((F.col("qtf") * F.col("qtf")).cast("double"))).alias("qn"))
-    weighted = qterms.join(qnorm, query_key)
-    scored = matching_postings(index, qterms).join(weighted, "term")
+    scored = matching_posts(index, qterms.join(qnorm, query_key))
     return (
-        scored.groupBy(query_key, index.key)
-        .agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"), F.first("norm").alias("dn"), F.first("qn").alias("qn"))
+        scored.groupBy(query_key, "grp", F.col("p.doc").alias(index.key))
+        .agg(F.sum(F.col("p.tf") * F.col("qtf")).alias("dot"), F.first("p.norm").alias("dn"), F.first("qn").alias("qn"))
         .select(query_key, index.key, F.round(F.col("dot") / (F.col("dn") * F.col("qn")), SCORE_DIGITS).alias("score"))
     )
 
@@ -218,6 +314,180 @@ def dense_topk(
     return rank_top(named, query_key, chunk_key, k)
 
 
+# --- cell index --------------------------------------------------------------------------------------------------
+
+CELL_SAMPLE = 20_000
+CELL_ROWS = 100_000
+
+
+@dataclass(frozen=True)
+class CellIndex:
+    """Vectors stored by the trained centre that they are nearest to: ``rows`` (cell, id, v), and the number of rows of every cell."""
+
+    key: str
+    rows: DataFrame
+    centres: np.ndarray
+    sizes: dict[int, int]
+
+
+def train_centres(vectors: DataFrame, key: str, vec: str, cells: int, sample: int = CELL_SAMPLE, rounds: int = 12) -> np.ndarray:
+    """Unit centres (spherical k-means) of about ``sample`` vectors, chosen by the hash of their id; only these reach the driver."""
+    share = min(1.0, sample / max(1, vectors.count()))
+    chosen = vectors.where(F.col(vec).isNotNull()).where(F.shiftrightunsigned(F.xxhash64(key), 1).cast("double") <= share * 2.0**63).orderBy(key).select(vec).collect()
+    x = np.array([r[0] for r in chosen], dtype=np.float64)
+    if not len(x):
+        return x.reshape(0, 0)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centres = x[np.random.default_rng(0).permutation(len(x))[:cells]]
+    for _ in range(rounds):
+        nearest = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, x)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.maximum(length, 1e-12), centres)
+    return centres
+
+
+def _with_cells(df: DataFrame, key: str, vec: str, names: tuple[str, str], centres: np.ndarray, probes: int) -> DataFrame:
+    """Each row once for each of the ``probes`` centres nearest to its vector."""
+    count = min(probes, len(centres))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            if len(frame):
+                order = np.argpartition(-(np.stack(frame[names[1]].to_numpy()) @ centres.T), count - 1, axis=1)[:, :count]
+                out = frame.loc[frame.index.repeat(count)]
+                yield out.assign(cell=order.ravel().astype(np.int32))
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias(names[0]), F.col(vec).cast("array<double>").alias(names[1])).where(F.col(names[1]).isNotNull())
+    return rows.mapInPandas(run, f"{names[0]} {kind}, {names[1]} array<double>, cell int")
+
+
+def build_cells(vectors: DataFrame, key: str, vec: str, cells: int = 32) -> CellIndex:
+    """Train the centres and write every vector under its cell."""
+    centres = train_centres(vectors, key, vec, cells)
+    if not len(centres):
+        return CellIndex(key, vectors.select(F.lit(0).alias("cell"), F.col(key).alias("__id"), F.col(vec).alias("__v")), centres, {})
+    rows = materialize(_with_cells(vectors, key, vec, ("__id", "__v"), centres, 1), "cells", ["cell"])
+    sizes = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}  # one row a cell
+    return CellIndex(key, rows, centres, sizes)
+
+
+def cell_topk(index: CellIndex, queries: DataFrame, query_key: str, query_vec: str, k: int, probes: int = 20) -> DataFrame:
+    """Approximate top-k by dot product: every query looks into its ``probes`` nearest cells only.
+
+    A cell with more than ``CELL_ROWS`` vectors is dealt to several tasks. With as many probes as cells the result is exact.
+    """
+    id_type, q_type = index.rows.schema["__id"].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
+    schema = f"__q {q_type}, __id {id_type}, score double"
+    if not index.sizes:
+        found = queries.sparkSession.createDataFrame([], schema)
+        return rank_top(found.select(F.col("__q").alias(query_key), F.col("__id").alias(index.key), "score"), query_key, index.key, k)
+    parts = F.create_map(*[F.lit(x) for c, n in index.sizes.items() for x in (c, -(-n // CELL_ROWS))])
+    asked = _with_cells(queries, query_key, query_vec, ("__q", "__u"), index.centres, probes)
+    count = F.coalesce(F.try_element_at(parts, F.col("cell")), F.lit(0))
+    left = index.rows.withColumn("part", F.pmod(F.xxhash64("__id"), count.cast("long")).cast("int"))
+    right = asked.where(count > 0).withColumn("part", F.explode(F.sequence(F.lit(0), count - 1)))
+
+    def best(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if l.empty or r.empty:
+            return pd.DataFrame({"__q": [], "__id": [], "score": []})
+        return _best_rows(l, r["__q"].to_numpy(), np.stack(r["__u"].to_numpy()).astype(np.float64), k)
+
+    hits = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInPandas(best, schema)
+    return rank_top(hits.select(F.col("__q").alias(query_key), F.col("__id").alias(index.key), "score"), query_key, index.key, k)
+
+
+# --- text vectors ------------------------------------------------------------------------------------------------
+
+DIMS = 128
+
+
+def _slots(index: TextIndex, dims: int) -> DataFrame:
+    """(term, slot, w): where the digest of a term puts it, with its sign and its inverse document frequency."""
+    digest = F.md5("term")
+    slot = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dims).cast("int")
+    sign = F.when(F.substring(digest, 9, 1) < "8", 1.0).otherwise(-1.0)
+    terms = index.blocks.groupBy("term").agg(F.sum("n").alias("df"))
+    return terms.select("term", slot.alias("slot"), (sign * F.ln((index.n_docs() + 1.0) / (F.col("df") + 1.0))).alias("w"))
+
+
+def _unit_vectors(cells: DataFrame, keys: list[str], key: str, dims: int) -> DataFrame:
+    """(key, vector) from sums (keys, slot, x); texts whose sums are all zero have none."""
+    rows = cells.groupBy(*keys).agg(F.collect_list(F.struct("slot", "x")).alias("c"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")).where("norm > 0")
+    entry = F.map_from_entries("c").alias("c")
+    value = lambda i: F.coalesce(F.try_element_at(F.col("c"), i) / F.col("norm"), F.lit(0.0))
+    return rows.select(key, entry, "norm").select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), value).alias("vector"))
+
+
+def document_vectors(index: TextIndex, dims: int = DIMS) -> DataFrame:
+    """(document, vector): unit vectors of hashed, signed tf-idf, a stand-in where no sentence encoder is available.
+
+    Weights meet whole blocks, not postings; the blocks of a group of documents then add up in one task.
+    """
+    weighted = index.blocks.select("term", "grp", "posts").join(_slots(index, dims), "term").repartition("grp")
+    posts = weighted.select("grp", "slot", "w", F.explode("posts").alias("p"))
+    cells = posts.groupBy("grp", F.col("p.doc").alias(index.key), "slot").agg(F.sum(F.col("p.tf") * F.col("w")).alias("x"))
+    return _unit_vectors(cells, ["grp", index.key], index.key, dims)
+
+
+def query_vectors(index: TextIndex, qterms: DataFrame, query_key: str, dims: int = DIMS) -> DataFrame:
+    """(query, vector) in the same space; terms that no document holds do not count."""
+    cells = qterms.join(_slots(index, dims), "term").groupBy(query_key, "slot").agg(F.sum(F.col("qtf") * F.col("w")).alias("x"))
+    return _unit_vectors(cells, [query_key], query_key, dims)
+
+
+def dense_text_topk(index: TextIndex, qterms: DataFrame, query_key: str, k: int, dims: int = DIMS) -> DataFrame:
+    """(query, document, score, rank): documents with the nearest text vectors."""
+    docs = materialize(document_vectors(index, dims), "text-vectors").withColumnRenamed("vector", "dv")
+    asks = materialize(query_vectors(index, qterms, query_key, dims), "query-vectors")
+    return dense_topk(docs, index.key, "dv", asks, query_key, "vector", k)
+
+
+def hybrid_topk(index: TextIndex, qterms: DataFrame, query_key: str, k: int) -> DataFrame:
+    """The best 2k of the dense and of the lexical list, fused to k."""
+    dense = dense_text_topk(index, qterms, query_key, 2 * k)
+    lexical = bm25_topk(index, qterms, query_key, 2 * k)
+    return rrf([dense, lexical], query_key, index.key, k)
+
+
+def shared_terms(index: TextIndex, pairs: DataFrame, qterms: DataFrame, query_key: str) -> DataFrame:
+    """``pairs`` with ``common``, the number of different query terms that the document holds; only blocks of the pairs' groups are opened."""
+    placed = pairs.select(query_key, index.key, index.group_of(F.col(index.key)).alias("grp")).join(qterms.select(query_key, "term"), query_key)
+    opened = placed.join(index.blocks.select("term", "grp", "posts"), ["term", "grp"]).where(F.exists("posts", lambda p: p["doc"] == F.col(index.key)))
+    counts = opened.groupBy(query_key, index.key).agg(F.count(F.lit(1)).alias("common"))
+    return pairs.join(counts, [query_key, index.key], "left").withColumn("common", F.coalesce("common", F.lit(0)))
+
+
+# Parts of the prompt that carries evidence, question and options, and its instruction.
+PROMPT = {
+    "evidence": "<evidence>\n{}\n</evidence>",
+    "question": "<target_question>{}</target_question>",
+    "options": "<options>\n{}\n</options>",
+}
+EVIDENCE_LINE = "[หลักฐานชิ้นที่ {}]: {}"
+INSTRUCTION = "คำสั่ง: วิเคราะห์หลักฐานและตอบเลขข้อที่ 'ถูกต้องที่สุด' เพียงข้อเดียวในรูปแบบ JSON"
+
+
+def _filled(template: str, *values: Column) -> Column:
+    parts = template.split("{}")
+    return F.concat(F.lit(parts[0]), *[c for v, p in zip(values, parts[1:], strict=True) for c in (v, F.lit(p))])
+
+
+def answer_prompt(hits: DataFrame, questions: DataFrame, query_key: str, text: str, question: str, choices: str, rank: str = "rank") -> DataFrame:
+    """(query, prompt): numbered evidence, the question, its numbered options and the instruction.
+
+    ``choices`` is a map column of ``questions``. A question without hits keeps an empty evidence part.
+    """
+    parts = F.sort_array(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(text).alias("t"))))
+    lines = hits.groupBy(query_key).agg(F.array_join(F.transform(parts, lambda p: _filled(EVIDENCE_LINE, p["r"].cast("string"), p["t"])), "\n").alias("__e"))
+    joined = questions.join(lines, query_key, "left")
+    pieces = {"evidence": F.coalesce("__e", F.lit("")), "question": F.col(question), "options": choices_text(F.col(choices))}
+    blocks = [_filled(template, pieces[name]) for name, template in PROMPT.items()]
+    return joined.select(query_key, F.concat_ws("\n\n", *blocks, F.lit(INSTRUCTION)).alias("prompt"))
+
+
 def hashed_vectors(df: DataFrame, key: str, tokens: Column, buckets: int = 1 << 12) -> DataFrame:
     """Unit-length TF-IDF vectors of hashed tokens, as a stand-in where no sentence encoder is available."""
     from pyspark.ml.feature import IDF, HashingTF, Normalizer

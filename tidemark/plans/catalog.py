@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import cleaning, modelling, people, scoring, search, series, tabular, texts  # noqa: F401
+from tidemark.plans import cleaning, modelling, people, routes, scoring, search, series, tabular, texts  # noqa: F401
 from tidemark.plans.registry import REGISTRY, Query
 
 

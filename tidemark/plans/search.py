@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import numbers as num, text as tx
 from tidemark.operators import retrieval as rt
+from tidemark.operators.distributed import materialize
 from tidemark.plans.registry import Tables, query
-from tidemark.plans.texts import KEEP, STOP, sql_tokens, tokens
+from tidemark.plans.texts import KEEP, STOP, sql_tokens
 
 K = 5
 
@@ -33,10 +34,23 @@ COSINE = """,
       cor as materialized (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from co)"""
 
 
+VECTORS = f""",
+      tw as materialized (select term, ('0x'||substr(md5(term),1,8))::bigint % {rt.DIMS} as slot,
+          case when substr(md5(term),9,1)<'8' then 1 else -1 end * ln((1+n)/(1+df)::double) as w from dfq cross join st),
+      dv as materialized (select doc_id, slot, sum(tf*w) as x from tf join tw using (term) group by 1,2),
+      dvn as (select doc_id, sqrt(sum(x*x)) as dn from dv group by 1)"""
+DENSE_TEXT = VECTORS + """,
+      qv as materialized (select item_id, slot, sum(qtf*w) as x from qt join tw using (term) group by 1,2),
+      qvn as (select item_id, sqrt(sum(x*x)) as qn from qv group by 1),
+      dot as (select item_id, doc_id, sum(qv.x*dv.x) as dot from qv join dv using (slot) group by 1,2),
+      de as materialized (select item_id, doc_id, round(dot/(qn*dn),6) as score from dot join dvn using (doc_id) join qvn using (item_id) where dn>0 and qn>0),
+      der as materialized (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from de)"""
+
+
 def fused_sql(k: int) -> str:
     return f""",
       fu as (select item_id, doc_id, round(sum(1.0::double/(60+rank)),8) as score from (
-        select item_id, doc_id, rank from bmr where rank<={2 * k} union all select item_id, doc_id, rank from cor where rank<={2 * k})
+        select item_id, doc_id, rank from bmr where rank<={2 * k} union all select item_id, doc_id, rank from der where rank<={2 * k})
         group by 1,2),
       fur as materialized (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from fu)"""
 
@@ -65,13 +79,21 @@ def ranked(df: DataFrame) -> DataFrame:
     return df.select("item_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("hashed_text_vectors")
+@query(
+    "hashed_text_vectors",
+    INDEX
+    + VECTORS
+    + """ select doc_id, count(*) filter (where abs(x)/dn>1e-9)::bigint as nonzero, round(sum(x*x)/any_value(dn*dn),6) as norm2,
+        round(sum(slot*x)/any_value(dn),4) as moment from dv join dvn using (doc_id) where dn>0 group by 1""",
+)
 def hashed_text_vectors(t: Tables) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    out = rt.hashed_vectors(t.documents.select("doc_id", "text"), "doc_id", tokens(), 1 << 10)
-    arr = vector_to_array("vector")
-    return out.select("doc_id", F.size(F.filter(arr, lambda x: x != 0)).alias("nonzero"), F.round(num.dot(arr, arr), 6).alias("norm2"))
+    """Checks on the unit vector of every document: entries that are not zero, squared length, and a sum weighted by place."""
+    v = F.col("vector")
+    places = F.zip_with(v, F.sequence(F.lit(0), F.lit(rt.DIMS - 1)), lambda x, i: x * i)
+    moment = F.aggregate(places, F.lit(0.0), lambda a, x: a + x)
+    return rt.document_vectors(doc_index(t)).select(
+        "doc_id", F.size(F.filter(v, lambda x: F.abs(x) > 1e-9)).cast("bigint").alias("nonzero"), F.round(num.dot(v, v), 6).alias("norm2"), F.round(moment, 4).alias("moment")
+    )
 
 
 @query(
@@ -86,7 +108,7 @@ def bm25_stats(t: Tables) -> DataFrame:
 
 @query("bm25_topk", BM25 + f" select item_id, doc_id, score, rank::bigint as rank from bmr where rank<={K}")
 def bm25_topk(t: Tables) -> DataFrame:
-    return ranked(rt.rank_top(bm25(doc_index(t), asked_terms(t)), "item_id", "doc_id", K))
+    return ranked(rt.bm25_topk(doc_index(t), asked_terms(t), "item_id", K))
 
 
 @query("cosine_topk", INDEX + COSINE + f" select item_id, doc_id, score, rank::bigint as rank from cor where rank<={K}")
@@ -94,56 +116,66 @@ def cosine_topk(t: Tables) -> DataFrame:
     return ranked(rt.rank_top(cosine(doc_index(t), asked_terms(t)), "item_id", "doc_id", K))
 
 
-@query("rrf_fusion", BM25 + COSINE + fused_sql(K) + f" select item_id, doc_id, score, rank::bigint as rank from fur where rank<={K}")
+@query("rrf_fusion", BM25 + DENSE_TEXT + fused_sql(K) + f" select item_id, doc_id, score, rank::bigint as rank from fur where rank<={K}")
 def rrf_fusion(t: Tables) -> DataFrame:
+    """Reciprocal rank fusion of the lexical list and the list of nearest text vectors."""
+    return ranked(rt.hybrid_topk(doc_index(t), asked_terms(t), "item_id", K))
+
+
+@query(
+    "rrf_two_lexical",
+    BM25
+    + COSINE
+    + fused_sql(K).replace("from der", "from cor")
+    + f" select item_id, doc_id, score, rank::bigint as rank from fur where rank<={K}",
+)
+def rrf_two_lexical(t: Tables) -> DataFrame:
     index, terms = doc_index(t), asked_terms(t)
-    return ranked(rt.hybrid(cosine(index, terms), bm25(index, terms), "item_id", "doc_id", K))
+    lists = [rt.rank_top(cosine(index, terms), "item_id", "doc_id", 2 * K), rt.bm25_topk(index, terms, "item_id", 2 * K)]
+    return ranked(rt.rrf(lists, "item_id", "doc_id", K))
 
 
 @query(
     "compare_methods",
     BM25
-    + COSINE
+    + DENSE_TEXT
     + fused_sql(K)
-    + """ select item_id, c.doc_id as cosine, b.doc_id as bm25, f.doc_id as fused, not (c.doc_id=b.doc_id and b.doc_id=f.doc_id) as differ
-      from (select * from cor where rank=1) c join (select * from bmr where rank=1) b using (item_id)
+    + """ select item_id, c.doc_id as dense, b.doc_id as bm25, f.doc_id as fused, not (c.doc_id=b.doc_id and b.doc_id=f.doc_id) as differ
+      from (select * from der where rank=1) c join (select * from bmr where rank=1) b using (item_id)
       join (select * from fur where rank=1) f using (item_id)""",
 )
 def compare_methods(t: Tables) -> DataFrame:
+    """First hit of the dense, the lexical and the fused list; both lists are ranked once and written."""
     index, terms = doc_index(t), asked_terms(t)
-    c, b = (rt.rank_top(s, "item_id", "doc_id", 2 * K) for s in (cosine(index, terms), bm25(index, terms)))
-    fused = rt.rrf([c, b], "item_id", "doc_id", K)
-    methods = {"cosine": c, "bm25": b, "fused": fused}
+    dense = materialize(rt.dense_text_topk(index, terms, "item_id", 2 * K), "dense-list")
+    bm = materialize(rt.bm25_topk(index, terms, "item_id", 2 * K), "lexical-list")
+    methods = {"dense": dense, "bm25": bm, "fused": rt.rrf([dense, bm], "item_id", "doc_id", K)}
     tops = None
     for name, df in methods.items():
         first = df.where("rank = 1").select("item_id", F.col("doc_id").alias(name))
         tops = first if tops is None else tops.join(first, "item_id")
-    same = (F.col("cosine") == F.col("bm25")) & (F.col("bm25") == F.col("fused"))
+    same = (F.col("dense") == F.col("bm25")) & (F.col("bm25") == F.col("fused"))
     return tops.withColumn("differ", ~same)
 
 
 @query(
     "two_stage_rerank",
     BM25
-    + """, cand as (select * from bmr where rank<=32),
-      ov as (select item_id, doc_id, any_value(score) as score, round(count(*)/any_value(nq),6) as rerank_score
-        from cand join qt using (item_id) join tf using (doc_id, term) join (select item_id, count(*)::double as nq from qt group by 1) using (item_id)
-        group by 1,2),
+    + DENSE_TEXT
+    + fused_sql(32)
+    + """, cand as (select * from fur where rank<=32), nq as (select item_id, count(*)::double as nq from qt group by 1),
+      co as (select item_id, doc_id, count(*) as common from cand join qt using (item_id) join tf using (doc_id, term) group by 1,2),
+      ov as (select item_id, doc_id, score, round(coalesce(common,0)/nq,6) as rerank_score from cand join nq using (item_id) left join co using (item_id, doc_id)),
       rr as (select *, row_number() over (partition by item_id order by rerank_score desc, score desc, doc_id) as rank from ov)
     select item_id, doc_id, rerank_score, rank::bigint as rank from rr where rank<=8""",
 )
 def two_stage_rerank(t: Tables) -> DataFrame:
+    """The 32 best of the fused list, re-scored by the share of the query's terms that they hold; 8 stay."""
     index, terms = doc_index(t), asked_terms(t)
-    cands = rt.rank_top(bm25(index, terms), "item_id", "doc_id", 32)
+    cands = materialize(rt.hybrid_topk(index, terms, "item_id", 32), "candidates")
     sizes = terms.groupBy("item_id").agg(F.count("*").alias("nq"))
-    shared = (
-        cands.join(terms.select("item_id", "term"), "item_id")
-        .join(index.postings.select("doc_id", "term"), ["doc_id", "term"])
-        .groupBy("item_id", "doc_id")
-        .agg(F.count("*").alias("common"), F.first("score").alias("score"))
-    )
-    overlap = F.round(F.col("common") / F.col("nq"), 6)
-    out = rt.rerank(shared.join(sizes, "item_id"), "item_id", "doc_id", overlap, 8)
+    shared = rt.shared_terms(index, cands, terms, "item_id").join(sizes, "item_id")
+    out = rt.rerank(shared, "item_id", "doc_id", F.round(F.col("common") / F.col("nq"), 6), 8)
     return out.select("item_id", "doc_id", "rerank_score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -154,11 +186,36 @@ def two_stage_rerank(t: Tables) -> DataFrame:
       from bmr join documents using (doc_id) where rank<=3 group by 1""",
 )
 def assemble_context(t: Tables) -> DataFrame:
-    top = rt.rank_top(bm25(doc_index(t), asked_terms(t)), "item_id", "doc_id", 3)
+    top = rt.bm25_topk(doc_index(t), asked_terms(t), "item_id", 3)
     hits = top.join(t.documents.select("doc_id", "text"), "doc_id")
     return rt.assemble_context(hits, "item_id", "text").select("item_id", F.md5("context").alias("context"))
 
 
+@query(
+    "answer_prompt",
+    BM25
+    + DENSE_TEXT
+    + fused_sql(3)
+    + f""", ev as (select item_id, string_agg('[หลักฐานชิ้นที่ '||rank||']: '||text, chr(10) order by rank) as e from fur join documents using (doc_id)
+        where rank<=3 group by 1),
+      ch as (select item_id, string_agg(k||'. '||p_name, chr(10) order by k) as o
+        from benchmark, unnest(range(1,11)) r(k) join part on p_partkey=(item_id%20)*10+k group by 1)
+    select item_id, md5('<evidence>'||chr(10)||coalesce(e,'')||chr(10)||'</evidence>'||chr(10)||chr(10)||'<target_question>'||text||'</target_question>'
+      ||chr(10)||chr(10)||'<options>'||chr(10)||o||chr(10)||'</options>'||chr(10)||chr(10)||'{rt.INSTRUCTION.replace("'", "''")}') as prompt
+    from benchmark join ch using (item_id) left join ev using (item_id)""",
+)
+def answer_prompt(t: Tables) -> DataFrame:
+    """The prompt of every benchmark text: three fused hits as evidence and ten part names as options."""
+    top = rt.hybrid_topk(doc_index(t), asked_terms(t), "item_id", 3)
+    hits = top.join(t.documents.select("doc_id", "text"), "doc_id").withColumnRenamed("text", "evidence")
+    numbered = t.benchmark.select("item_id", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("k")).withColumn("p_partkey", (F.col("item_id") % 20) * 10 + F.col("k"))
+    listed = numbered.join(t.part.select("p_partkey", "p_name"), "p_partkey").groupBy("item_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("k").cast("string"), "p_name"))).alias("choices")
+    )
+    asked = t.benchmark.select("item_id", "text").join(listed, "item_id")
+    return rt.answer_prompt(hits, asked, "item_id", "evidence", "text", "choices").select("item_id", F.md5("prompt").alias("prompt"))
+
+
 def class_centres(t: Tables) -> DataFrame:
     """One query vector per class: the mean of its unit vectors, made unit length. Averages combine map-side."""
     unit = t.embeddings.select("label", num.l2_normalize(F.col("embedding")).alias("v"))
@@ -195,6 +252,14 @@ def dense_topk_grid(t: Tables) -> DataFrame:
     return _dense(t, rt.dense_topk)
 
 
+@query("dense_topk_cells")
+def dense_topk_cells(t: Tables) -> DataFrame:
+    """Ten nearest embeddings of every twentieth one, from 20 of 32 cells (recall is measured in the tests)."""
+    unit = t.embeddings.select("vec_id", num.l2_normalize(F.col("embedding")).alias("v"))
+    asked = unit.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("qv"))
+    return rt.cell_topk(rt.build_cells(unit, "vec_id", "v"), asked, "query", "qv", 10)
+
+
 @query(
     "parse_answer",
     r"""
