@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemark.llm.components import connected_components
 from tidemark.llm.hashing import mix, shingle_set
 from tidemark.llm.ordering import restored, with_id
+from tidemark.llm.workers import lean
 from tidemark.operators.distributed import materialize, release
 
 PERCENT = 75
@@ -49,6 +50,7 @@ SKETCH_BITS = 7
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
+@lean
 def _frequent_in_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Tokens that several texts of one run share; a run is a fixed number of tokens."""
     held, size = [], 0
@@ -114,6 +116,7 @@ def _sketch(tokens: np.ndarray) -> bytes:
     return np.minimum(np.bincount((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS), 255).astype(np.uint8).tobytes()
 
 
+@lean
 def _may_link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs that their sketches do not rule out: two sets share no more than the smaller number in every part."""
     for frame in frames:
@@ -131,6 +134,7 @@ def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInPandas(_may_link, "a long, b long")
 
 
+@lean
 def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of one (left, part) follow each other: first the left text itself, then the texts to compare it with."""
     own = None
@@ -174,6 +178,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts, spark = rows.select("key", "text"), docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_tokens(texts.select("text")))
 
+    @lean
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens_of, seen = frequent.value, set()
         for frame in frames:
@@ -267,6 +272,7 @@ def _count_block(keys: list[int], copies: list[int], chunks: list[int], tokens:
     return pd.DataFrame({"key": np.array(keys, dtype=np.int64), "linked": out})
 
 
+@lean
 def _count_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of one block (component, low, high) follow each other."""
     block, held = None, ([], [], [], [])

@@ -20,6 +20,7 @@ import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.workers import lean
 from tidemark.operators.distributed import top_per_key
 
 UNKNOWN = "und"
@@ -92,6 +93,7 @@ def identify(
     frozen = tuple(sorted(dictionaries.items()))
 
     @F.pandas_udf("lang string, score double, margin double, rejected boolean")
+    @lean
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [classify(t, frozen, level, min_margin) for t in batch]

@@ -28,9 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.hashing import mix
+from tidemark.llm.workers import lean
 from tidemark.operators.distributed import materialize, release
 
 MIN_LENGTH = 400
@@ -40,6 +42,7 @@ LARGEST = 20_000
 STRETCH = 20
 _BATCH = 20_000
 _SLICE = 4000
+_TEXTS = 256
 _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _UP, _DOWN = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
@@ -95,31 +98,41 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams[places], mix(contexts + shape), places
 
 
-def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+@lean
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = set()
-    for frame in frames:
-        out = []
-        for key, text in zip(frame["key"], frame["text"], strict=True):
-            if key not in seen:
-                seen.add(key)
-                grams, contexts, places = anchors(np.frombuffer(text.encode(), dtype=np.uint8))
-                if len(places):
-                    out.append((key, grams.view(np.int64), contexts.view(np.int64), places))
-        yield pd.DataFrame(out, columns=["key", "gram", "context", "place"])
-
-
-def _cut_contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        out = []
-        for text, wanted in zip(frame["text"], frame["wanted"], strict=True):
-            raw = text.encode()
-            for w in wanted:
-                at = w["place"]
-                out.append((w["gram"], w["context"], raw[max(0, at - REACH) : at], raw[at : at + MIN_LENGTH]))
-            if len(out) >= _SLICE:
-                yield pd.DataFrame(out, columns=["gram", "context", "before", "after"])
-                out = []
-        yield pd.DataFrame(out, columns=["gram", "context", "before", "after"])
+    for batch in batches:
+        for at in range(0, batch.num_rows, _TEXTS):
+            part = batch.slice(at, _TEXTS)
+            out = []
+            for key, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist(), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    grams, contexts, places = anchors(np.frombuffer(text.encode(), dtype=np.uint8))
+                    if len(places):
+                        out.append((key, grams.view(np.int64), contexts.view(np.int64), places))
+            kinds = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "gram", "context", "place"])
+
+
+@lean
+def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["gram", "context", "before", "after"]
+    for batch in batches:
+        for at in range(0, batch.num_rows, _TEXTS):
+            part = batch.slice(at, _TEXTS)
+            out = []
+            for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True):
+                raw = text.encode()
+                for w in wanted:
+                    place = w["place"]
+                    out.append((w["gram"], w["context"], raw[max(0, place - REACH) : place], raw[place : place + MIN_LENGTH]))
+                if len(out) >= _SLICE:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names)
+                    out = []
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names)
 
 
 def _common_prefix(right: np.ndarray, length: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -182,6 +195,7 @@ def expand(gram: np.ndarray, before: list[bytes], after: list[bytes]) -> tuple[n
     return out_left, out_right
 
 
+@lean
 def _expand_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Whole groups of one gram, gathered to batches. Rows come sorted by gram and context."""
 
@@ -212,6 +226,7 @@ def _names(rows: list[tuple], what: list[str]) -> pd.DataFrame:
     return pd.DataFrame(out | {c: np.concatenate([r[i + 2] for r in rows]) if rows else [] for i, c in enumerate(what)})
 
 
+@lean
 def _stretch_names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For every stretch of depths of a context the hash of what all its windows have in common, and of all they cover.
 
@@ -233,6 +248,7 @@ def _stretch_names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield _names(rows, ["first", "kind", "name"])
 
 
+@lean
 def _window_names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Hashes of the windows of the wanted stretches of a context."""
     for frame in frames:
@@ -285,7 +301,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``key`` (md5 of the text) and ``spans``, the reaches (start, end) that are repeated, for texts that have any."""
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= MIN_LENGTH)
     texts = texts.select(F.unhex(F.md5("text")).alias("key"), "text")
-    read = materialize(texts.mapInPandas(_read, "key binary, gram array<long>, context array<long>, place array<long>"), "suffix-anchors")
+    read = materialize(texts.mapInArrow(_read, "key binary, gram array<long>, context array<long>, place array<long>"), "suffix-anchors")
     rows = read.select("key", F.explode(F.arrays_zip("gram", "context", "place")).alias("a")).select("key", "a.*")
     contexts = rows.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("one"))
     per_gram = contexts.groupBy("gram").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("different")).where("total > 1")
@@ -295,7 +311,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     wanted = alive.where("different > 1").groupBy(F.col("one.key").alias("key")).agg(
         F.collect_list(F.struct("gram", "context", F.col("one.place").alias("place"))).alias("wanted")
     )
-    cut = texts.dropDuplicates(["key"]).join(wanted, "key").select("text", "wanted").mapInPandas(_cut_contexts, "gram long, context long, before binary, after binary")
+    cut = texts.dropDuplicates(["key"]).join(wanted, "key").select("text", "wanted").mapInArrow(_cut_contexts, "gram long, context long, before binary, after binary")
     cut = materialize(cut, "suffix-cuts")
     release(docs.sparkSession)
     found = reaches(cut, groups.where("different > 1"))
