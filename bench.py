@@ -48,6 +48,7 @@ def main() -> None:
         build = lambda q=registry[name]: q.build(tables)
         timed(build)
         seconds[name] = round(statistics.median(timed(build) for _ in range(runs)), 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     print(
         json.dumps(
             {

@@ -8,7 +8,7 @@ from tidemark.plans.catalog import all_queries
 
 QUERIES = {n: q for n, q in all_queries().items() if not q.build.__module__.endswith("modelling")}
 PYTHON_OK = {
-    "chunk_pack", "dense_topk", "dense_topk_grid", "dense_topk_cells", "rrf_fusion", "compare_methods", "two_stage_rerank", "answer_prompt",
+    "dense_topk", "dense_topk_grid", "dense_topk_cells", "rrf_fusion", "compare_methods", "two_stage_rerank", "answer_prompt",
     "longest_alias", "geo_answer", "role_alias", "route_cascade",
 }
 

@@ -29,7 +29,7 @@ def test_chunk_overlap_must_be_smaller(spark):
 def test_pack_keeps_every_word_under_the_budget(spark):
     paras = [" ".join(f"p{i}w{j}" for j in range(n)) for i, n in enumerate([5, 3, 9, 40, 2, 2, 6])]
     df = spark.createDataFrame([("store/a.md", "\n".join(paras))], "path string, text string")
-    out = ch.pack_chunks(df, "text", "path", max_tokens=20, overlap_tokens=3).collect()
+    out = ch.pack_chunks(df, "text", "path", max_tokens=20, overlap_tokens=3, pattern=r"\n").collect()
     assert all(r["n_tokens"] <= 20 and len(r["chunk"].split()) <= 20 for r in out)
     words = {w for p in paras for w in p.split()}
     assert words <= {w for r in out for w in r["chunk"].split()}
@@ -38,9 +38,9 @@ def test_pack_keeps_every_word_under_the_budget(spark):
 
 def test_paragraphs_split_headings(spark):
     df = spark.createDataFrame([("# Title\nbody one\n\n## Next\nbody two",)], "text string")
-    got = [r["paragraph"] for r in ch.paragraph_split(df, "text").collect()]
+    got = [r["paragraph"] for r in ch.paragraph_split(df, "text", r"\n").collect()]
     assert got == ["# Title", "body one", "## Next", "body two"]
-    blank = [r["paragraph"] for r in ch.paragraph_split(df, "text", r"\n\n").collect()]
+    blank = [r["paragraph"] for r in ch.paragraph_split(df, "text").collect()]
     assert blank == ["# Title", "body one", "## Next", "body two"]
 
 
@@ -107,3 +107,44 @@ def test_space_positions_and_vocabulary(spark):
     assert sorted(r["pos"] for r in ch.space_positions(df, "t").collect()) == [1, 3, 4]
     extra = spark.createDataFrame([("z",), ("a",)], "w string")
     assert sorted(r["word"] for r in ch.vocabulary((df, "t"), extra=extra).collect()) == ["a", "b", "c", "z"]
+
+
+def pack_brute(sizes, budget):
+    """Runs of paragraphs, built one after the other; None marks an oversized one."""
+    runs, held = [], []
+    for i, n in enumerate(sizes):
+        if n > budget:
+            runs += [held, [i, None]] if held else [[i, None]]
+            held = []
+        elif sum(sizes[j] for j in held) + n > budget:
+            runs.append(held)
+            held = [held[-1], i] if sizes[held[-1]] + n <= budget else [i]
+        else:
+            held = [*held, i]
+    return [r for r in [*runs, held] if r]
+
+
+def test_packed_spans_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([1, 2, 5, 9, 10, 11, 30]) for _ in range(rng.randrange(0, 40))]) for i in range(200)] + [(200, [])]
+    out = spark.createDataFrame(rows, "id int, sizes array<int>").select("id", "sizes", ch.packed_spans(F.col("sizes"), F.lit(10)).alias("s"))
+    for r in out.collect():
+        want = [(x[0], x[0], None) if x[-1] is None else (x[0], x[-1], sum(r["sizes"][j] for j in x)) for x in pack_brute(r["sizes"], 10)]
+        assert [tuple(s) for s in r["s"]] == want
+
+
+def test_segmentation_of_a_very_long_word(spark):
+    import random
+
+    rng = random.Random(6)
+    vocab = {"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 7))) for _ in range(60)}
+    word = "".join(rng.choice("abcd") for _ in range(20_000))
+    out = ch.segment_words(spark.createDataFrame([(word,)], "word string"), spark.createDataFrame([(v,) for v in vocab], "word string")).first()
+    want, i = [], 0
+    while i < len(word):
+        n = max([k for k in range(1, 8) if word[i : i + k] in vocab], default=1)
+        want.append(word[i : i + n])
+        i += n
+    assert out["pieces"] == want

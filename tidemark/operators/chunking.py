@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.text import category_from_path, has_digit, path_stem, words
 
@@ -27,90 +26,75 @@ def fixed_chunks(df: DataFrame, text: str, size: int = 512, overlap: int = 128)
     return cut.select(*[c for c in df.columns if c != text], F.posexplode(pieces).alias("chunk_no", "chunk"))
 
 
-def paragraphs(text: Column, pattern: str = r"\n") -> Column:
-    """Trimmed non-empty paragraphs; markdown headings stand alone."""
+def paragraphs(text: Column, pattern: str = r"\n\n") -> Column:
+    """Trimmed non-empty paragraphs, parted by blank lines; markdown headings stand alone."""
     spaced = F.regexp_replace(text, r"(?m)(^#+\s.*$)", "\n\n$1\n\n")
     bare = F.transform(F.split(spaced, pattern), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
     return F.filter(bare, lambda p: p != "")
 
 
-def paragraph_split(df: DataFrame, text: str, pattern: str = r"\n") -> DataFrame:
+def paragraph_split(df: DataFrame, text: str, pattern: str = r"\n\n") -> DataFrame:
     keep = [c for c in df.columns if c != text]
     return df.select(*keep, F.posexplode(paragraphs(F.col(text), pattern)).alias("para_no", "paragraph"))
 
 
-CHUNK_TYPE = T.ArrayType(
-    T.StructType([T.StructField("chunk", T.StringType()), T.StructField("n_tokens", T.IntegerType())])
-)
-
-
-def _pack(paras: list[str], budget: int, overlap: int) -> list[tuple[str, int]]:
-    """Greedy packing of one document's paragraphs; the last paragraph is repeated where it fits the budget."""
-    out: list[tuple[str, int]] = []
-    held: list[tuple[str, int]] = []
-    total = 0
-
-    def emit(items: list[tuple[str, int]], n: int) -> None:
-        if items:
-            out.append(("\n\n".join(p for p, _ in items), n))
-
-    for para in paras:
-        tokens = para.split()
-        n = len(tokens)
-        if n > budget:
-            emit(held, total)
-            held, total = [], 0
-            step = max(1, budget - overlap)
-            start = 0
-            while start < n:
-                part = tokens[start : start + budget]
-                out.append((" ".join(part), len(part)))
-                if start + budget >= n:
-                    break
-                start += step
-            continue
-        if total + n > budget:
-            emit(held, total)
-            last = held[-1:]
-            held = last if last and last[0][1] + n <= budget else []
-            total = sum(k for _, k in held)
-        held.append((para, n))
-        total += n
-    emit(held, total)
-    return out
+def packed_spans(sizes: Column, budget: Column) -> Column:
+    """Runs of paragraphs (first, last, tokens) under a token budget, as a fold over their sizes; an oversized paragraph is a run with null tokens.
+
+    A run that is closed by the next paragraph hands its last paragraph on, if both fit together.
+    """
+    run = lambda first, last, n: F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"), n.cast("int").alias("n"))
+    state = lambda done, start, n: F.struct(done.alias("done"), start.cast("int").alias("start"), n.cast("int").alias("n"))
+    none = F.array().cast("array<struct<first:int,last:int,n:int>>")
+    closed = lambda s, i: F.when(s["start"] < i, F.concat(s["done"], F.array(run(s["start"], i - 1, s["n"])))).otherwise(s["done"])
+
+    def step(s: Column, p: Column) -> Column:
+        i, n, before = p["i"], p["n"], p["before"]
+        alone = state(F.concat(closed(s, i), F.array(run(i, i, F.lit(None)))), i + 1, F.lit(0))
+        handed_on = (s["start"] < i) & (before + n <= budget)
+        fresh = state(closed(s, i), F.when(handed_on, i - 1).otherwise(i), F.when(handed_on, before + n).otherwise(n))
+        return F.when(n > budget, alone).when(s["n"] + n > budget, fresh).otherwise(state(s["done"], s["start"], s["n"] + n))
+
+    placed = F.transform(sizes, lambda n, i: F.struct(i.alias("i"), n.alias("n"), F.coalesce(F.get(sizes, i - 1), F.lit(0)).alias("before")))
+    return F.aggregate(placed, state(none, F.lit(0), F.lit(0)), step, lambda s: closed(s, F.size(sizes)))
 
 
 def pack_chunks(
-    df: DataFrame, text: str, path: str, max_tokens: int = 400, overlap_tokens: int = 60, pattern: str = r"\n"
+    df: DataFrame, text: str, path: str, max_tokens: int = 400, overlap_tokens: int = 60, pattern: str = r"\n\n"
 ) -> DataFrame:
     """Pack paragraphs into chunks under a token budget, prefixed with category and title.
 
-    The fold over one document's paragraphs is sequential, so it runs as an Arrow UDF on the paragraph arrays:
-    no shuffle, one document in memory at a time. Oversized paragraphs are cut by words, to their very end.
+    The fold carries only sizes and places and runs inside the row; the text of a chunk is put together once, from the paragraphs of its run. Oversized
+    paragraphs are cut by words, to their very end.
     """
-
-    @F.pandas_udf(CHUNK_TYPE)
-    def packed(paras: pd.Series, budgets: pd.Series) -> pd.Series:
-        return pd.Series(
-            [_pack(list(p), int(b), overlap_tokens) if p is not None else [] for p, b in zip(paras, budgets)]
-        )
-
     category = category_from_path(F.col(path))
     title = path_stem(F.col(path))
     prefix = F.concat(F.lit("Category: "), category, F.lit(" | Title: "), title, F.lit("\nContent: "))
-    marked = df.select(
-        *[c for c in df.columns if c != text],
-        category.alias("category"),
-        title.alias("product"),
-        prefix.alias("__prefix"),
-        paragraphs(F.col(text), pattern).alias("__paras"),
-    )
-    budget = F.lit(max_tokens) - F.size(words(F.col("__prefix")))
-    exploded = marked.withColumn("__chunks", packed("__paras", budget)).select(
-        "*", F.posexplode("__chunks").alias("chunk_no", "__c")
-    )
+    keep = [c for c in df.columns if c != text]
+    counted = F.transform(paragraphs(F.col(text), pattern), lambda p: F.struct(p.alias("text"), F.size(words(p)).alias("n")))
+    # each array of one keeps the optimiser from working out what is inside it once more for every use
+    marked = df.select(*keep, category.alias("category"), title.alias("product"), prefix.alias("__prefix"), F.explode(F.array(counted)).alias("__paras"))
+    marked = marked.withColumn("__budget", F.lit(max_tokens) - F.size(words(F.col("__prefix"))))
+    spans = packed_spans(F.transform("__paras", lambda p: p["n"]), F.col("__budget"))
+    placed = marked.withColumn("__spans", F.coalesce(spans, F.array().cast("array<struct<first:int,last:int,n:int>>")))
+    step = F.greatest(F.lit(1), F.col("__budget") - overlap_tokens)
+
+    def parts(place: Column) -> Column:
+        para = F.get("__paras", place)
+        windows = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((para["n"] - F.col("__budget")) / step).cast("int")))
+        return F.transform(windows, lambda k: F.struct(
+            F.array_join(F.slice(words(para["text"]), k * step + 1, F.col("__budget")), " ").alias("chunk"),
+            F.least(F.col("__budget"), para["n"] - k * step).cast("int").alias("n_tokens"),
+        ))
+
+    def whole(s: Column) -> Column:
+        body = F.array_join(F.transform(F.slice("__paras", s["first"] + 1, s["last"] - s["first"] + 1), lambda p: p["text"]), "\n\n")
+        return F.array(F.struct(body.alias("chunk"), s["n"].alias("n_tokens")))
+
+    chunks = F.flatten(F.transform("__spans", lambda s: F.when(s["n"].isNull(), parts(s["first"])).otherwise(whole(s))))
+    exploded = placed.select("*", F.posexplode(chunks).alias("chunk_no", "__c"))
     return exploded.select(
-        *[c for c in df.columns if c != text],
+        *keep,
         "chunk_no",
         F.concat("__prefix", "__c.chunk").alias("chunk"),
         F.col("__c.n_tokens").alias("n_tokens"),
@@ -142,39 +126,36 @@ def space_positions(df: DataFrame, text: str) -> DataFrame:
 def segment_words(terms: DataFrame, vocab: DataFrame, max_len: int | None = None) -> DataFrame:
     """Longest-match segmentation of distinct words against a vocabulary table of any size.
 
-    Substrings of a word are joined to the vocabulary on equality, the longest match per start is kept, and a fold
-    walks the starts from left to right; characters no entry covers become pieces of their own. Neither the
-    vocabulary nor the words are broadcast by force or collected.
+    The vocabulary gives, for every first two letters, the lengths that occur; a place of a word tries only the lengths of its own two letters (and one
+    letter). Those substrings are joined to the vocabulary on equality, the longest match per place is kept, and a fold walks the places from left to right;
+    characters no entry covers become pieces of their own. Neither the vocabulary nor the words are broadcast by force or collected.
     """
     w = F.col("word")
-    bound = F.lit(max_len) if max_len is not None else vocab.agg(F.max(F.length("word")).alias("m")).scalar()
-    longest = F.least(F.length(w), bound)
-    starts = terms.select("word").distinct().where(F.length("word") > 0).select(
-        "word", longest.alias("__m"), F.explode(F.sequence(F.lit(1), F.length(w))).alias("start")
-    )
-    room = F.least(F.col("__m"), F.length(w) - F.col("start") + 1)
-    cands = starts.select("word", "start", F.explode(F.sequence(F.lit(1), room)).alias("len"))
+    entries = vocab.select("word").where(F.length("word") > 0).distinct()
+    if max_len is not None:
+        entries = entries.where(F.length("word") <= max_len)
+    heads = entries.where(F.length("word") > 1).groupBy(F.substring("word", 1, 2).alias("head")).agg(F.collect_set(F.length("word")).alias("lengths"))
+    whole = terms.select("word").distinct().where(F.length("word") > 0)
+    starts = whole.select("word", F.explode(F.sequence(F.lit(1), F.length(w))).alias("start"))
+    placed = starts.withColumn("head", F.substring(w, F.col("start"), F.lit(2))).join(heads, "head", "left")
+    tried = F.array_append(F.coalesce("lengths", F.array().cast("array<int>")), F.lit(1))
+    cands = placed.select("word", "start", F.explode(tried).alias("len")).where(F.col("start") + F.col("len") - 1 <= F.length(w))
     pieces = cands.withColumn("piece", F.substring(w, F.col("start"), F.col("len")))
-    known = pieces.join(vocab.select(F.col("word").alias("piece")).distinct(), "piece", "left_semi")
-    best = known.groupBy("word", "start").agg(F.max("len").alias("len"))
-    tables = best.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("start", "len"))).alias("__best"))
-    joined = terms.select("word").distinct().where(F.length("word") > 0).join(tables, "word", "left")
+    known = pieces.join(entries.select(F.col("word").alias("piece"), F.lit(True).alias("known")), "piece", "left")
+    best = known.groupBy("word", "start").agg(F.coalesce(F.max(F.when(F.col("known"), F.col("len"))), F.lit(1)).alias("len"))
+    tables = best.groupBy("word").agg(F.transform(F.sort_array(F.collect_list(F.struct("start", "len"))), lambda s: s["len"]).alias("steps"))
     walk = F.aggregate(
         F.sequence(F.lit(1), F.length(w)),
-        F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("pieces")),
+        F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("starts")),
         lambda s, i: F.when(
             i == s["next"],
-            F.struct(
-                (i + F.coalesce(F.try_element_at(F.col("__best"), i), F.lit(1))).alias("next"),
-                F.concat(
-                    s["pieces"],
-                    F.array(F.substring(w, i, F.coalesce(F.try_element_at(F.col("__best"), i), F.lit(1)))),
-                ).alias("pieces"),
-            ),
+            F.struct((i + F.get("steps", i - 1)).alias("next"), F.array_append(s["starts"], i).alias("starts")),
         ).otherwise(s),
-        lambda s: s["pieces"],
+        lambda s: s["starts"],
     )
-    return joined.select("word", has_digit(w).alias("has_digit"), walk.alias("pieces"))
+    walked = tables.select("word", "steps", F.explode(F.array(walk)).alias("starts"))
+    cut = F.transform("starts", lambda i: F.substring(w, i, F.get("steps", i - 1)))
+    return walked.select("word", has_digit(w).alias("has_digit"), cut.alias("pieces"))
 
 
 def char_tags(df: DataFrame, key: str, text: str) -> DataFrame:

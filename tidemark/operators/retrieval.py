@@ -53,13 +53,15 @@ class TextIndex:
     """Documents tokenised once, their postings written in blocks: one row per term and group of about ``GROUP`` documents.
 
     ``blocks``: term, grp, n postings, total tf, ``most`` (largest tf) and ``densest`` (largest tf / length), from which the largest
-    contribution of the block follows for any BM25 parameters, and ``posts``, structs of document, tf, dl and norm.
+    contribution of the block follows for any BM25 parameters, and ``posts``, structs of document, tf, dl and norm. ``size`` counts documents, ``tokens`` all
+    their tokens.
     """
 
     key: str
     blocks: DataFrame
-    docs: DataFrame
     groups: int
+    size: int
+    tokens: int
 
     def group_of(self, doc: Column) -> Column:
         return F.pmod(F.xxhash64(doc), F.lit(self.groups)).cast("int")
@@ -71,11 +73,11 @@ class TextIndex:
         return p.select(F.col("p.doc").alias(self.key), "term", "p.tf", "p.dl", "p.norm")
 
     def n_docs(self) -> Column:
-        return self.docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+        return F.lit(self.size)
 
     def mean_length(self) -> Column:
         """Mean tokens per document, empty documents included."""
-        return self.blocks.agg(F.sum("total").alias("t")).scalar() / self.n_docs()
+        return F.lit(self.tokens / max(1, self.size))
 
     def term_stats(self) -> DataFrame:
         terms = self.blocks.groupBy("term").agg(F.sum("total").alias("total_tf"), F.sum("n").alias("df"))
@@ -88,7 +90,8 @@ def build_index(docs: DataFrame, key: str, text: str, tokenize: Callable[[Column
     Only (document, term, counts) is shuffled. The groups cut a term that every document holds into as many tasks as there are groups.
     """
     ids = docs.select(key)
-    groups = max(1, -(-ids.count() // group))
+    size = ids.count()
+    groups = max(1, -(-size // group))
     terms = document_terms(spread_scan(docs.select(key, text)), key, text, tokenize)
     flat = terms.select(F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("grp"), key, "dl", "norm", F.explode("runs").alias("r"))
     post = F.struct(F.col(key).alias("doc"), F.col("r.tf").alias("tf"), "dl", "norm")
@@ -99,7 +102,8 @@ def build_index(docs: DataFrame, key: str, text: str, tokenize: Callable[[Column
         F.max(F.col("r.tf") / F.col("dl")).alias("densest"),
         F.collect_list(post).alias("posts"),
     )
-    return TextIndex(key, materialize(blocks, "postings"), ids, groups)
+    written = materialize(blocks, "postings")
+    return TextIndex(key, written, groups, size, written.agg(F.sum("total")).first()[0] or 0)
 
 
 def query_terms(queries: DataFrame, query_key: str, tokens: Column) -> DataFrame:
@@ -182,7 +186,7 @@ def bm25_topk(index: TextIndex, qterms: DataFrame, query_key: str, k: int, k1: f
     """(query, document, score, rank): the same rows as ranking ``bm25_scores``, without scoring documents that cannot be among them.
 
     Essential terms are summed up over their postings. A document whose sum, with the most that the other terms can add, stays below
-    the k-th sum is dropped. Only for what is left the blocks of the other terms are opened, by (term, group).
+    the k-th sum is dropped. Of the other terms only blocks are opened in whose group a document of that query is left, and only such documents are scored.
     """
     terms = materialize(essential_terms(index, qterms, query_key, k, k1, b), "essential-terms")
     others = terms.where("not essential")
@@ -190,13 +194,14 @@ def bm25_topk(index: TextIndex, qterms: DataFrame, query_key: str, k: int, k1: f
     sums = materialize(_sums(index, terms.where("essential"), query_key, k1, b), "essential-sums")
     limits = _floors(sums, query_key, index.key, k).join(rest, query_key, "left").withColumn("others", F.coalesce("others", F.lit(0.0)))
     alive = sums.join(limits, query_key).where(F.col("s") + F.col("others") >= F.col("floor") - MARGIN)
-    pairs = alive.where("others > 0").join(others.select(query_key, "term", "w"), query_key).select(query_key, "grp", index.key, "term", "w")
-    opened = pairs.join(index.blocks.select("term", "grp", "posts"), ["term", "grp"])
-    post = F.get(F.filter("posts", lambda p: p["doc"] == F.col(index.key)), F.lit(0))
-    found = opened.select(query_key, index.key, "w", post.alias("p")).where("p is not null")
-    added = found.select(query_key, index.key, (F.col("w") * bm25_part(index, F.col("p.tf"), F.col("p.dl"), k1, b)).alias("s"))
-    total = alive.select(query_key, index.key, "s").unionByName(added).groupBy(query_key, index.key)
-    return rank_top(total.agg(F.round(F.sum("s"), SCORE_DIGITS).alias("score")), query_key, index.key, k)
+    kept = alive.select(query_key, "grp", index.key, "s", "others").repartition("grp")
+    groups = kept.where("others > 0").select(query_key, "grp").distinct()
+    opened = index.blocks.join(others.select(query_key, "term", "w"), "term").join(groups, [query_key, "grp"], "left_semi")
+    posts = opened.select(query_key, "grp", "w", F.explode("posts").alias("p")).select(query_key, "grp", F.col("p.doc").alias(index.key), "w", "p.tf", "p.dl")
+    found = posts.join(kept.select(query_key, "grp", index.key), [query_key, "grp", index.key], "left_semi")
+    added = found.select(query_key, "grp", index.key, (F.col("w") * bm25_part(index, F.col("tf"), F.col("dl"), k1, b)).alias("s"))
+    total = kept.select(query_key, "grp", index.key, "s").unionByName(added).groupBy(query_key, "grp", index.key)
+    return rank_top(total.agg(F.round(F.sum("s"), SCORE_DIGITS).alias("score")).drop("grp"), query_key, index.key, k)
 
 
 def cosine_scores(index: TextIndex, qterms: DataFrame, query_key: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Model queries on MLlib. Fits are iterative, so these have no SQL counterpart."""
+"""Model queries on MLlib. Tree fits are iterative and have no SQL counterpart; the isotonic fit of a fixed score has one, in its min-max form."""
 
 from __future__ import annotations
 
@@ -35,8 +35,30 @@ def boosted_ensemble(t: Tables) -> DataFrame:
     return md.score_ensemble(models, later).select("event_id", "label", "p")
 
 
-@query("isotonic_calibration")
+@query(
+    "isotonic_calibration",
+    """
+    with o as (select (o_orderkey%89)/100.0::double as p, (o_custkey%100 < o_orderkey%89)::int as label from orders),
+      g as materialized (select p, count(*) as n, sum(label) as s from o group by 1),
+      c as materialized (select p, row_number() over (order by p) as k, n, sum(n) over (order by p) as cn, sum(s) over (order by p) as cs from g),
+      m as materialized (select a.k as i, b.k as j, (b.cs-coalesce(z.cs,0))/(b.cn-coalesce(z.cn,0))::double as mean
+        from c a join c b on a.k<=b.k left join c z on z.k=a.k-1),
+      low as (select i, c.k, min(mean) as least from m join c on c.k between m.i and m.j group by 1,2),
+      fit as (select k, max(least) as v from low group by 1)
+    select p, n::bigint as n, round(least(greatest(v,1e-6),1-1e-6),6) as calibrated from c join fit using (k)""",
+)
 def isotonic_calibration(t: Tables) -> DataFrame:
+    """Monotone calibration of a fixed score of the orders, and the calibrated value of every score that occurs."""
+    score = (F.col("o_orderkey") % 89).cast("double") / 100.0
+    rows = t.orders.select(score.alias("p"), (F.col("o_custkey") % 100 < F.col("o_orderkey") % 89).cast("int").alias("label"))
+    fitted = md.fit_isotonic(rows, "label", "p")
+    scores = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    return md.apply_isotonic(fitted, scores, "p").select("p", "n", F.round("calibrated", 6).alias("calibrated"))
+
+
+@query("isotonic_after_boosting")
+def isotonic_after_boosting(t: Tables) -> DataFrame:
+    """Calibration of a boosted model's score on rows that are neither trained on nor reported."""
     train, later, _ = matrices(t)
     calibration, test = slices(later)
     models = md.fit_boosted(train, "label", rounds=3, members=md.MEMBERS[:1])

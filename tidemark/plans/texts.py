@@ -70,10 +70,23 @@ def chunk_fixed(t: Tables) -> DataFrame:
     select doc_id, (i-1)::bigint as para_no, ps[i] as paragraph from p, unnest(range(1,len(ps)+1)) r(i)""",
 )
 def paragraph_split(t: Tables) -> DataFrame:
-    out = ch.paragraph_split(t.documents.select("doc_id", "text"), "text")
+    out = ch.paragraph_split(t.documents.select("doc_id", "text"), "text", r"\n")
     return out.withColumn("para_no", F.col("para_no").cast("bigint"))
 
 
+@query(
+    "paragraph_blank_lines",
+    r"""
+    with p as (select doc_id, list_filter(list_transform(string_split(regexp_replace(replace(text,'. ','.'||chr(10)||chr(10)),'(?m)(^#+\s.*$)',
+        chr(10)||chr(10)||'\1'||chr(10)||chr(10),'g'),chr(10)||chr(10)), lambda x: regexp_replace(x,'^\s+|\s+$','','g')), lambda x: x<>'') as ps from documents)
+    select doc_id, (i-1)::bigint as para_no, md5(ps[i]) as paragraph from p, unnest(range(1,len(ps)+1)) r(i)""",
+)
+def paragraph_blank_lines(t: Tables) -> DataFrame:
+    """Paragraphs parted by blank lines; the documents get one after every sentence."""
+    spaced = t.documents.select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))
+    return ch.paragraph_split(spaced, "text").select("doc_id", F.col("para_no").cast("bigint").alias("para_no"), F.md5("paragraph").alias("paragraph"))
+
+
 # Budget 400 less the 7 tokens of the prefix; parts of oversized paragraphs step on by 393 - 60.
 PACK = r"""
     with recursive ps as (select doc_id, list_filter(list_transform(string_split(
@@ -106,7 +119,7 @@ def chunk_pack(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "text", "source").select(
         "doc_id", "text", F.concat(F.col("source"), F.lit("/store/"), F.col("doc_id"), F.lit(".md")).alias("path")
     )
-    out = ch.pack_chunks(docs, "text", "path")
+    out = ch.pack_chunks(docs, "text", "path", pattern=r"\n")
     ints = {"chunk_no": F.col("chunk_no"), "n_tokens": F.col("n_tokens"), "n_chars": F.length("chunk")}
     return out.select("doc_id", *[c.cast("bigint").alias(n) for n, c in ints.items()], "metadata.product", "metadata.category")
 
