@@ -143,6 +143,54 @@ def test_join_with_every_shared_shingle_frequent(spark, monkeypatch):
     assert got == dict(enumerate(brute.components(texts)))
 
 
+def near_copies(n: int) -> list[str]:
+    """Copies of one text with so many changes that many of them link with few others or none."""
+    rng = random.Random(21)
+    base = prose(rng, 140).split()
+    texts = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(len(words)), rng.randrange(1, 6)):
+            words[at] = f"x{i}"
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize(("cell", "per_member"), [(1024, 4), (7, 0), (50, 1)])
+def test_near_copies_in_cells_of_any_size(spark, monkeypatch, cell, per_member):
+    texts = near_copies(90)
+    for name, value in {"RUN_COUNT": 2, "CELL": cell, "PER_MEMBER": per_member}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join_components(docs).collect()}
+    want = brute.components(texts)
+    assert got == dict(enumerate(want)) and len(set(want)) > 5
+
+
+def test_rows_of_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    texts, rows = near_copies(300), []
+    possible = jaccard_join.possible
+    monkeypatch.setattr(jaccard_join, "RUN_COUNT", 2)
+    monkeypatch.setattr(jaccard_join, "possible", lambda pairs, sketches: rows.append(pairs.count()) or possible(pairs, sketches))
+    jaccard_join.join_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sum(rows) < 20 * len(texts)
+
+
+def test_sketches_rule_out_no_link():
+    rng = np.random.default_rng(5)
+    universe = jaccard_join.mix(np.arange(4000, dtype=np.uint64))
+    ruled_out = 0
+    for _ in range(400):
+        a = np.sort(rng.choice(universe, rng.integers(1, 900), replace=False))
+        b = np.sort(np.unique(np.concatenate([a[rng.random(len(a)) > rng.random() * 0.4], rng.choice(universe, rng.integers(0, 1 + len(a) // 3), replace=False)])))
+        sketches = [jaccard_join._words([jaccard_join._sketch(x)]) for x in (a, b)]
+        shared = len(np.intersect1d(a, b))
+        likely = 175 * jaccard_join._apart(*sketches)[0] <= 25 * (len(a) + len(b))
+        ruled_out += not likely
+        assert likely or 100 * shared < 75 * (len(a) + len(b) - shared)
+    assert ruled_out > 100
+
+
 @pytest.mark.parametrize("block", [7, 1000])
 def test_links_inside_a_component_are_counted(spark, monkeypatch, block):
     rng = random.Random(3)
