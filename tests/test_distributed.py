@@ -104,3 +104,10 @@ def test_first_per_key(skewed):
     df, pdf = skewed
     got = {r["key"]: r["id"] for r in ds.first_per_key(df, ["key"], ["id"]).collect()}
     assert got == pdf.groupby("key")["id"].min().to_dict()
+
+
+def test_dealt_tasks_hold_a_bounded_number_of_rows(spark):
+    from tidemark.operators.distributed import dealt
+
+    rows = dealt(spark.range(4000).coalesce(1), 100).rdd.glom().map(len).collect()
+    assert sum(rows) == 4000 and max(rows) <= 200

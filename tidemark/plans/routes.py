@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators import cascade as ca, directory as di
-from tidemark.operators.distributed import materialize
+from tidemark.operators.distributed import dealt, materialize
 from tidemark.plans.people import COMPANY, SQL_IS_COUNT, SQL_IS_LIST, sql_any, sql_asked, sql_phrase, sql_policy, sql_unwrap
 from tidemark.plans.registry import Tables, query
 from tidemark.plans.views import PEOPLE_SQL, people
 
 MOST = 99  # the largest number that a question can name
+PEOPLE_AT_ONCE = 25_000  # people whose entries one task makes and sorts
 
 # Patterns of the rules. Names are Thai or Latin letters.
 EXT = r"\b(\d{5})\b"
@@ -459,7 +460,7 @@ def route_sql() -> str:
 def route_cascade(t: Tables) -> DataFrame:
     """Every question of every person through the cascade; the answers pass the compliance guard."""
     folk = materialize(folk_view(t), "folk")
-    index = materialize(ca.directory_index(entries(folk), PERSON, ["emp_id"], MOST), "directory-index", ["kind"])
+    index = materialize(ca.directory_index(entries(dealt(folk, PEOPLE_AT_ONCE)), PERSON, ["emp_id"], MOST), "directory-index", ["kind"])
     q = materialize(analysed(questions(folk).withColumn("text", di.unwrap_question(F.col("text")))), "questions")
     q = ca.alias_targets(q, "qid", "text", aliases(t, folk), ["secretary_unit", "manager_unit", "described_unit", "org_dept", "geo", "branch"])
     q = followed(materialize(keyed(q, index), "keyed-questions"), index)
