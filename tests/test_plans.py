@@ -54,3 +54,14 @@ def test_no_fold_stands_above_the_explosion_of_terms(spark):
     optimised = plan(out).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     above = optimised[: optimised.rindex("Generate explode", 0, optimised.rindex("Generate explode"))]
     assert "aggregate(" not in above
+
+
+@pytest.mark.parametrize("name", ["assemble_context", "answer_prompt"])
+def test_texts_do_not_move_to_meet_their_few_hits(spark, tables, name):
+    """The hits are written before they meet the texts, so the planner knows that they are few."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        text = plan(QUERIES[name].build(tables)).split("== Physical Plan ==")[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"BroadcastHashJoin \[doc_id", text)
