@@ -163,3 +163,16 @@ def test_resolve_alias_gate_and_block(spark):
     al = spark.createDataFrame([("tech", "T-EA"), ("head of tech", "CTO-EA")], "alias string, target string")
     got = {r["q"]: r["target"] for r in di.resolve_alias(q, "q", "t", al, gate=["secretary"], block=["list all"]).collect()}
     assert got == {1: "CTO-EA"}
+
+
+def test_nickname_index_sorts_bounded_rows(spark, monkeypatch):
+    """However few files hold the people, a task sorts few of them; the rows are those of one task."""
+    monkeypatch.setattr(di, "INDEX_ROWS", 100)
+    folk = spark.range(4000).coalesce(1).selectExpr("id", "'n' || id % 7 as nick", "'f' || id % 3 as first", "'d' || id % 2 as dept", "if(id < 50, '', 'x') as ext", "'A' as code")
+    index = di.nickname_index(folk, ["nick", "first"], "dept", "ext", F.col("code"), "id")
+    assert ", 40), REPARTITION_BY_NUM" in index._jdf.queryExecution().toString()
+    expected = {}
+    for i in range(50, 4000):
+        for name in (f"N{i % 7}", f"F{i % 3}"):
+            expected.setdefault((name, f"D{i % 2}"), i)
+    assert {(r["name_key"], r["dept_key"]): r["id"] for r in index.collect()} == expected

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.text import mask_private
 from tidemark.operators.aliases import contained_names
-from tidemark.operators.distributed import first_per_key, materialize, spread_scan, top_per_key
+from tidemark.operators.distributed import dealt, first_per_key, materialize, spread_scan, top_per_key
 
 # Canonical phrases by class and language. ``{company}`` is filled in by the caller.
 PHRASES = {
@@ -290,9 +290,16 @@ def preference(ext: Column, code: Column) -> Column:
     return F.when(has_ext & ~secretary, 0).when(has_ext, 1).otherwise(2)
 
 
+INDEX_ROWS = 50_000  # people whose names a task sorts at one time
+
+
 def nickname_index(people: DataFrame, names: Sequence[str], dept: str, ext: str, code: Column, order: str) -> DataFrame:
-    """Preferred person per (name or nickname, department)."""
-    candidates = people.withColumn("__p", preference(F.col(ext), code)).withColumn(
+    """Preferred person per (name or nickname, department), with all columns of ``people``, which should be few.
+
+    People are written and dealt by ``order``, a nearly unique column, so that a task sorts about ``INDEX_ROWS`` of them before names combine.
+    """
+    spread = dealt(materialize(people, "people"), INDEX_ROWS, order)
+    candidates = spread.withColumn("__p", preference(F.col(ext), code)).withColumn(
         "name_key", F.explode(F.array_distinct(F.array(*[F.upper(F.trim(F.col(n))) for n in names])))
     ).where(F.col("name_key") != "")
     return first_per_key(candidates.withColumn("dept_key", F.upper(dept)), ["name_key", "dept_key"], ["__p", order]).drop("__p")

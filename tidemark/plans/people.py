@@ -199,7 +199,8 @@ NICK_DEPT_SQL = r"""
 def nick_dept_lookup(t: Tables) -> DataFrame:
     name, dept = di.nick_dept_keys(F.col("text"))
     keys = asks(t).select("qid", name.alias("name_key"), dept.alias("dept_key")).where("name_key is not null")
-    index = di.nickname_index(people(t), ["nickname", "first_name"], "dept", "ext", F.col("code"), "emp_id")
+    known = people(t).select("emp_id", "nickname", "first_name", "dept", "ext", "code")
+    index = di.nickname_index(known, ["nickname", "first_name"], "dept", "ext", F.col("code"), "emp_id")
     return keys.join(index.select("name_key", "dept_key", "emp_id"), ["name_key", "dept_key"], "left").select(
         "qid", "name_key", "dept_key", "emp_id"
     )
