@@ -160,3 +160,21 @@ def test_scores_beyond_exact_floats():
     })
     top = 2**28 - 1
     assert hn.Block(rows, 64).scores(x[0].astype(float), np.arange(2)).tolist() == [64 * top * top, 64 * top * top - top]
+
+
+def test_scores_of_many_rows_copy_no_rows():
+    """Most rows survive the intervals of such vectors; gathering them for every anchor cost more than all else."""
+    import tracemalloc
+
+    import pandas as pd
+
+    x = np.random.default_rng(0).integers(-300, 300, (4000, 64)).astype("<i4")
+    found = hn.encode(x.astype(np.float64), 1)
+    rows = pd.DataFrame({"id": range(4000), "no_id": False, "label": 0, "x": [r.tobytes() for r in x], "code": [r.tobytes() for r in found.pop("code")], **found})
+    block, at = hn.Block(rows, 64), np.flatnonzero(np.arange(4000) % 10)
+    tracemalloc.start()
+    scores = block.scores(x[7].astype(np.float64), at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (scores == x[at].astype(np.int64) @ x[7].astype(np.int64)).all()
+    assert peak < block.x.nbytes / 4

@@ -33,6 +33,7 @@ from tidemark.operators.distributed import materialize, top_per_key
 LARGEST = float(2**28)
 PLANES = 5
 SEEDS = 64
+GATHERED = 16
 CODED = "id long, no_id boolean, label long, x binary, code binary, width double, along double, off double"
 
 
@@ -97,7 +98,8 @@ class Block:
         self.width, self.along, self.off = (rows[c].to_numpy() for c in ("width", "along", "off"))
         self.norm = np.hypot(self.along, self.off)
         self.ones = np.bitwise_count(self.codes).sum(axis=0, dtype=np.int64)
-        self.exact = np.abs(self.x).max(initial=0.0) ** 2 * length < 2**51
+        self.most = np.abs(self.x).max(initial=0.0)
+        self.exact = self.most**2 * length < 2**51
         self.whole = whole
 
     def of_label(self, label: int) -> slice:
@@ -128,9 +130,12 @@ class Block:
         return self.along[at] * across, half + 1e-9 * (self.norm[at] * np.linalg.norm(q)) + 1e-6
 
     def scores(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Exact whole-number scores: a float product while all sums stay below 2**53, else 64-bit integers."""
-        if self.exact and np.abs(q).max(initial=0.0) * np.abs(self.x).max(initial=0.0) * len(q) < 2**53:
-            return (self.x[at] @ q).astype(np.int64)
+        """Exact whole-number scores: a float product while all sums stay below 2**53, else 64-bit integers.
+
+        Of many rows the whole block is multiplied as it lies, which costs less than to gather them first.
+        """
+        if self.exact and np.abs(q).max(initial=0.0) * self.most * len(q) < 2**53:
+            return ((self.x @ q)[at] if len(at) > len(self.x) // GATHERED else self.x[at] @ q).astype(np.int64)
         return self.whole[at].astype(np.int64) @ q.astype(np.int64)
 
     def first(self, at: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
