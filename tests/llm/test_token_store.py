@@ -93,3 +93,17 @@ def test_dictionary_is_trained_and_helps():
     size = lambda d: sum(len(ts.compressor(d).compress(s)) for s in samples[:200])
     assert size(trained) < 0.6 * size(b"") and ts.decompressor(trained).decompress(ts.compressor(trained).compress(samples[0])) == samples[0]
     assert ts.train([]) == b"" and ts.train([b"abc"]) == b"abc"
+
+
+def test_texts_are_read_four_times(spark):
+    """To measure them, to choose those to train on, to find the ranges, and to encode them."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(i, f"text {i} of a few words") for i in range(300)], "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    ts.write_store(docs, "doc_id", "text", JSON, 2, range_bytes=2000)
+    assert rows.value == 4 * 300, rows.value

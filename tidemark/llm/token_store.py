@@ -59,7 +59,7 @@ def id_width(tokenizer: str) -> int:
 # Texts of common Latin letters, ASCII marks and blanks (without the dotted capital I, whose small form has two characters), and the
 # parts into which the tokenizer's split pattern cuts such a text in lower case.
 PLAIN_TEXT = re.compile("[ \n\t\r!-~À-įı-ž]*")
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-zß-öø-ž0-9 \n\t\r]+")
+PARTS = re.compile("[a-zß-öø-ž]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-zß-öø-ž0-9 \n\t\r]+")
 
 
 class WordIds:
@@ -163,10 +163,18 @@ def decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
     return zstandard.ZstdDecompressor(dict_data=_zstandard_dictionary(dictionary))
 
 
-def learn_dictionary(docs: DataFrame, text: str, end_id: int, tokenizer: str) -> bytes:
+def measured(docs: DataFrame, text: str) -> tuple[int, int]:
+    """(bytes of all texts, estimate of the number of distinct texts short enough to train on), in one reading."""
+    sized = docs.select(F.col(text).cast("string").alias("text"))
+    short = F.when(F.octet_length("text").between(1, SAMPLE_BYTES), F.xxhash64("text"))
+    total, distinct = sized.agg(F.sum(F.octet_length("text")), F.approx_count_distinct(short)).first()
+    return total or 0, distinct
+
+
+def learn_dictionary(docs: DataFrame, text: str, end_id: int, tokenizer: str, distinct: int) -> bytes:
     """Trained on about ``SAMPLE`` distinct texts: those whose hash is below a threshold that follows from an estimate of the number of texts."""
-    short = docs.select(F.col(text).alias("text")).where(F.octet_length("text").between(1, SAMPLE_BYTES)).withColumn("hash", F.xxhash64("text"))
-    share = min(1.0, SAMPLE / max(1, short.agg(F.approx_count_distinct("hash")).first()[0]))
+    short = docs.select(F.col(text).cast("string").alias("text")).where(F.octet_length("text").between(1, SAMPLE_BYTES)).withColumn("hash", F.xxhash64("text"))
+    share = min(1.0, SAMPLE / max(1, distinct))
     chosen = short.where(F.shiftrightunsigned("hash", 1).cast("double") <= share * 2.0**63).dropDuplicates(["hash"])
     rows = sorted((r["hash"], r["text"]) for r in chosen.collect())  # at most some SAMPLE * SAMPLE_BYTES bytes
     width = id_width(tokenizer)
@@ -272,10 +280,10 @@ def write_store(
     docs: DataFrame, doc_id: str, text: str, tokenizer: str, end_id: int, block_bytes: int = BLOCK, range_bytes: int = RANGE_BYTES
 ) -> TokenStore:
     """Encode, compress and write all documents; ``tokenizer`` is the JSON of a tokenizers file."""
-    dictionary = learn_dictionary(docs, text, end_id, tokenizer)
+    total, distinct = measured(docs, text)
+    dictionary = learn_dictionary(docs, text, end_id, tokenizer, distinct)
     key = F.col(doc_id).cast("long")
     rows = docs.select(F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("no_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.desc("no_id"), F.asc("id"), F.xxhash64("text").asc()]
     ranged = rows.repartitionByRange(max(1, min(MOST_RANGES, -(-total // range_bytes))), *order).sortWithinPartitions(*order, F.asc("text"))
     packed = materialize(blocks(ranged.withColumn("range", F.spark_partition_id()), tokenizer, end_id, dictionary, block_bytes), "token-blocks")
