@@ -1,6 +1,7 @@
 """Parts of the operators that the queries' small tables do not reach."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -13,6 +14,7 @@ from tests.llm.conftest import prose
 from tidemark.llm import bpe, components, decontaminate, jaccard_join, language, quality, quotes, sharding, suffix_dedup
 from tidemark.llm.hashing import shingle_set
 from tidemark.llm.ordering import numbered
+from tidemark.session import ensure_checkpoint_dir
 
 RANKS = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 OWN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
@@ -191,6 +193,41 @@ def test_sketches_rule_out_no_link():
     assert ruled_out > 100
 
 
+def test_sketches_of_long_sets_of_any_sizes_rule_out_strangers_and_no_link():
+    rng = np.random.default_rng(6)
+    universe = jaccard_join.mix(np.arange(40000, dtype=np.uint64))
+    sets = [np.sort(rng.choice(universe, n, replace=False)) for n in (150, 250, 260, 4000, 4090, 4100, 5000, 9000)]
+    sets += [np.sort(s[rng.random(len(s)) > 0.12]) for s in sets]
+    i, j = np.triu_indices(len(sets), 1)
+    differ = jaccard_join._differ([jaccard_join._sketch(s) for s in sets], i, j)
+    for a, b, least in zip(i, j, differ, strict=True):
+        shared = len(np.intersect1d(sets[a], sets[b]))
+        assert least <= len(sets[a]) + len(sets[b]) - 2 * shared
+        likely = 175 * least <= 25 * (len(sets[a]) + len(sets[b]))
+        assert likely == (b - a == 8) or 3 * len(sets[b]) < 2 * len(sets[a]) or 3 * len(sets[a]) < 2 * len(sets[b])
+
+
+@pytest.mark.parametrize("slots", [7, 24])
+def test_a_bitmap_loses_no_wanted_row(spark, slots):
+    rows = spark.range(2000).selectExpr("xxhash64(id) as key", "id")
+    wanted = rows.where("id % 40 = 0")
+    met, rest = (jaccard_join.among(rows, wanted.select("key"), "key", slots, others=o) for o in (False, True))
+    met, rest = {r["id"] for r in met.collect()}, {r["id"] for r in rest.collect()}
+    assert {r["id"] for r in wanted.collect()} <= met and met | rest == set(range(2000)) and not met & rest
+    assert slots == 7 or len(met) < 60
+
+
+@pytest.mark.parametrize("run", [lambda docs: jaccard_join.one_per_component(docs), lambda docs: suffix_dedup.remove_repeats(docs)])
+def test_tables_of_finished_steps_are_deleted(spark, run):
+    rng = random.Random(8)
+    texts = [prose(rng, 120) for _ in range(12)]
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    run(spark.createDataFrame(list(enumerate([*texts, *texts[:3]])), "doc_id long, text string")).collect()
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert left and not left & {f"tidemark-{x}" for x in ("join-index", "join-live", "join-tokens", "suffix-anchors", "suffix-contexts", "suffix-cuts")}
+
+
 @pytest.mark.parametrize("block", [7, 1000])
 def test_links_inside_a_component_are_counted(spark, monkeypatch, block):
     rng = random.Random(3)
